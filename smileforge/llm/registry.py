@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe_roundtrip
 from .linededup import OP2_SQL, op2_line_dedup
 from .mixing import OP10_SQL, op10_mix_sources
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_mix_sources": op10_mix_sources,
 }
 
