@@ -5,9 +5,13 @@ from __future__ import annotations
 from .bpe import op9_bpe_roundtrip
 from .linededup import OP2_SQL, op2_line_dedup
 from .mixing import OP10_SQL, op10_mix_sources
+from .quality import op1_fertility_rules
+from .tokencount import op3_token_counts
 
 QUERIES = {
+    "op1_fertility_rules": op1_fertility_rules,
     "op2_line_dedup": op2_line_dedup,
+    "op3_token_counts": op3_token_counts,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_mix_sources": op10_mix_sources,
 }

@@ -1,7 +1,6 @@
 """Vectorised hashing of words and word shingles over Arrow string columns.
 
-A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``; A-Z are
-lower-cased first.  Words get a polynomial hash over a random byte table modulo
+A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``.  Words get a polynomial hash over a random byte table modulo
 2**64, read from one running sum, so a whole batch of documents is hashed with
 a handful of numpy passes and no Python loop over words.
 """
@@ -20,13 +19,9 @@ _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 CHUNK_BYTES = 2 << 20
 
 
-def _byte_table() -> np.ndarray:
-    table = np.random.default_rng(_SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
-    table[65:91] = table[97:123]  # A-Z hash as a-z
-    return table
-
-
-_TABLE = _byte_table()
+_EXACT = np.random.default_rng(_SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
+_FOLDED = _EXACT.copy()
+_FOLDED[65:91] = _EXACT[97:123]  # A-Z hash as a-z
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _SHINGLE = np.random.default_rng(_SEED + 1).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -92,11 +87,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hash of every word; ``fold`` lower-cases A-Z first."""
     up, down = _powers(len(data) + 1)
     run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=run[1:])
+    np.cumsum((_FOLDED if fold else _EXACT)[data] * up[: len(data)], out=run[1:])
     return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
