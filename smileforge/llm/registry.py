@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe_roundtrip
+from .langid import op5_language_id
 from .linededup import OP2_SQL, op2_line_dedup
 from .mixing import OP10_SQL, op10_mix_sources
 from .neardup import op8_minmax_neardup
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_fertility_rules": op1_fertility_rules,
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
+    "op5_language_id": op5_language_id,
     "op8_minmax_neardup": op8_minmax_neardup,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_mix_sources": op10_mix_sources,
