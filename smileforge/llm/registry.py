@@ -9,12 +9,14 @@ from .mixing import OP10_SQL, op10_mix_sources
 from .neardup import op8_minmax_neardup
 from .quality import op1_fertility_rules
 from .tokencount import op3_token_counts
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_fertility_rules": op1_fertility_rules,
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op5_language_id": op5_language_id,
+    "op7_toxicity": op7_toxicity,
     "op8_minmax_neardup": op8_minmax_neardup,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_mix_sources": op10_mix_sources,
