@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rational approximation of the normal distribution function
 # (Hart; West 2005, "Better approximations to cumulative normal functions").
@@ -193,7 +194,7 @@ def bracketed(price, f, k, t, r, side, rounds=100) -> np.ndarray:
     return out
 
 
-_NEWTON_SCHEMA = "implied_vol double, status string, iterations int, price_error double"
+_NEWTON_SCHEMA = T.StructType([T.StructField("implied_vol", T.DoubleType()), T.StructField("status", T.StringType()), T.StructField("iterations", T.IntegerType()), T.StructField("price_error", T.DoubleType())])
 
 
 @F.pandas_udf(_NEWTON_SCHEMA)
@@ -202,7 +203,7 @@ def _newton_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Seri
         yield newton(*columns)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _bracketed_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for columns in batches:
         yield pd.Series(bracketed(*columns))
