@@ -6,13 +6,13 @@ with equal sets are one class from the start.  Classes that share a band are
 candidates; a candidate pair becomes a link only if the full sets reach the
 similarity.
 
-Within a bucket not all pairs are compared.  A round compares a few leaders of
-each bucket with the members that are not yet in the leader's component, then
-joins the components that the found links connect; the leaders leave.  A
-bucket is finished when its members are in one component.  Where links are
-absent the number of leaders grows fourfold a round until all pairs across
-components are compared, so no link between components is lost, while a bucket of
-true near copies is finished after a round or two.
+Within a bucket no pair is compared whose documents are already in one
+component.  A round compares a few leaders of each bucket with its members and
+joins the components that the found links connect; a bucket is finished when
+its members are in one component.  When rounds find few links any more, the
+members outside a bucket's largest component are compared with all its members
+in blocks of bounded size, whose shared shingles a matrix product counts; then
+all pairs across components have been compared and no link is lost.
 """
 
 from __future__ import annotations
@@ -31,8 +31,12 @@ from .wordhash import mix, shingle_sets, text_chunks
 PERMUTATIONS = 64
 #: Values of the signature in one band.
 BAND_ROWS = 4
-#: Leaders that a bucket has in the first round, and growth from round to round.
-LEADERS, LEADER_GROWTH = 1, 4
+#: Leaders of a bucket in the rounds after the first, which has one.
+LEADERS = 4
+#: Rounds go on while they find a link for this share of the members still in question.
+WORTHWHILE = 0.02
+#: Shingles of one side of a block (about), and columns of one matrix product.
+BLOCK_SHINGLES, BLOCK_COLUMNS = 200_000, 2048
 _RNG = np.random.default_rng(8)
 _FACTORS = _RNG.integers(1, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
 _ORDER_SEED = 88
@@ -107,6 +111,63 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted sets, by products of their incidence matrices."""
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    both = np.intersect1d(*(np.unique(h) for h, _ in sides), assume_unique=True)
+    counts = np.zeros((len(left), len(right)), np.float32)
+    if not len(both):
+        return counts
+    placed = []
+    for h, row in sides:
+        at = np.minimum(np.searchsorted(both, h), len(both) - 1)
+        keep = both[at] == h
+        at, row = at[keep], row[keep]
+        order = np.argsort(at, kind="stable")
+        placed.append((at[order], row[order]))
+    for lo in range(0, len(both), BLOCK_COLUMNS):
+        m = []
+        for (at, row), n in zip(placed, counts.shape, strict=True):
+            part = slice(*np.searchsorted(at, [lo, lo + BLOCK_COLUMNS]))
+            x = np.zeros((n, min(BLOCK_COLUMNS, len(both) - lo)), np.float32)
+            x[row[part], at[part] - lo] = 1
+            m.append(x)
+        counts += m[0] @ m[1].T
+    return counts
+
+
+def _block_links(odd: DataFrame, all_: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the members outside a bucket's largest component and members of other components.
+
+    Both frames have bucket, oc and mc (block numbers), member, label and
+    shingles.  Of the links of one document to one component one is given.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: tuple[list, list] = ([], [])
+        if left.num_rows and right.num_rows:
+            sets = [[np.frombuffer(x.as_py(), np.uint64) for x in t["shingles"]] for t in (left, right)]
+            (ids, labels), (others, other_labels) = ((t["member"].to_numpy(), t["label"].to_numpy()) for t in (left, right))
+            sizes = [np.array([len(x) for x in s]) for s in sets]
+            both = _shared_counts(*sets)
+            linked = (100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)) & (labels[:, None] != other_labels[None, :])
+            i, j = np.nonzero(linked)
+            if len(i):
+                _, first = np.unique(np.stack([i, other_labels[j]]), axis=1, return_index=True)
+                out = ids[i[first]], others[j[first]]
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    odd = odd.select(*(F.col(c).alias(f"o_{c}") for c in ("bucket", "oc", "mc")), F.col("member").alias("o_member"), F.col("label").alias("o_label"), F.col("shingles").alias("o_shingles"))
+
+    def renamed(left: pa.Table, right: pa.Table) -> pa.Table:
+        return run(left.rename_columns([c.removeprefix("o_") for c in left.column_names]), right)
+
+    grouped = odd.groupBy("o_bucket", "o_oc", "o_mc").cogroup(all_.select("bucket", "oc", "mc", "member", "label", "shingles").groupBy("bucket", "oc", "mc"))
+    return grouped.applyInArrow(renamed, "a long, b long").distinct()
+
+
 def components(space: Workspace, edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` (a, b), for every node that has an edge.
 
@@ -168,37 +229,52 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     sets = space.write(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(weights, F.col("doc_id") == F.col("member"), "left_semi"), width).dropDuplicates(["doc_id"]))
     left = space.write(members.join(weights, "member").select("bucket", "member", "n", "weight", F.col("member").alias("label")))
     space.drop(spread, members, weights)
-    labels, leaders = None, LEADERS
+    labels, leaders = None, 1
     while left.head(1):
-        cell = F.pmod(F.xxhash64("member", "bucket", F.lit(leaders)), F.lit(leaders))
-        chosen = left.groupBy("bucket", cell.alias("cell")).agg(F.max(F.struct("weight", "member", "n", "label")).alias("x")).select("bucket", F.col("x.member").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.label").alias("leader_label"))
-        chosen = space.write(chosen)
-        pairs = left.join(chosen, "bucket").where((F.col("label") != F.col("leader_label")) & (F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent))
-        pairs = pairs.select(F.greatest("member", "leader").alias("b"), F.least("member", "leader").alias("a")).distinct()
-        with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        with_both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        links = space.write(_linked(with_both, percent))
+        # The largest component of each bucket; members outside it are odd.
+        groups = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+        main = groups.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("s").alias("s_all"), (F.sum("s") - F.max_by("s", F.struct("k", "label"))).alias("s_odd"))
+        marked = space.write(left.join(main, "bucket"))
+        odd = marked.where("label <> main")
+        if labels is None or found >= WORTHWHILE * odd.count():
+            cell = F.pmod(F.xxhash64("member", "bucket"), F.lit(leaders))
+            pool = marked if labels is None else odd
+            chosen = pool.groupBy("bucket", cell.alias("cell")).agg(F.max(F.struct("weight", "member", "n", "label")).alias("x")).select("bucket", F.col("x.member").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.label").alias("leader_label"))
+            chosen = space.write(chosen)
+            pairs = left.join(chosen, "bucket").where((F.col("label") != F.col("leader_label")) & (F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent))
+            pairs = pairs.select(F.greatest("member", "leader").alias("b"), F.least("member", "leader").alias("a")).distinct()
+            with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
+            with_both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
+            links = space.write(_linked(with_both, percent))
+            rest = left.join(chosen.select("bucket", F.col("leader").alias("member")), ["bucket", "member"], "left_anti")
+            leaders, last = LEADERS, False
+        else:
+            blocks = lambda total: F.ceil(F.col(total) / BLOCK_SHINGLES).cast("int")
+            with_sets = marked.withColumns({"ocs": blocks("s_odd"), "mcs": blocks("s_all")}).join(sets.withColumnRenamed("doc_id", "member"), "member")
+            own = lambda n: F.pmod(F.xxhash64("member", "bucket"), F.col(n)).cast("int")
+            every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+            o = with_sets.where("label <> main").withColumn("oc", own("ocs")).withColumn("mc", every("mcs"))
+            m = with_sets.withColumn("mc", own("mcs")).withColumn("oc", every("ocs"))
+            links = space.write(_block_links(o, m, percent))
+            rest, last, chosen = left, True, None
+        found = links.count()
         # Links join the components that they run between.
-        of = left.select("member", "label").distinct()
         if labels is None:
-            between = links
-        else:
-            known = labels.select(F.col("node"), "root")
+            labels = space.write(components(space, links))
+        elif found:
+            known = labels.select("node", "root")
             between = links.join(known.toDF("a", "ra"), "a", "left").join(known.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        merged = space.write(components(space, between))
-        if labels is None:
-            labels = merged
-        else:
+            merged = space.write(components(space, between))
             moved = labels.join(merged.toDF("root", "new"), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
             labels = space.write(moved.union(merged.join(labels, "node", "left_anti")))
-        rest = left.join(chosen.select("bucket", F.col("leader").alias("member")), ["bucket", "member"], "left_anti")
+        if last:
+            break
         rest = rest.join(labels.withColumnRenamed("node", "member"), "member", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
         rest = space.write(rest.select("bucket", "member", "n", "weight", "label"))
         open_ = rest.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("bucket")
         after = space.write(rest.join(open_, "bucket", "left_semi"))
-        space.drop(left, rest, chosen, links)
+        space.drop(left, rest, chosen, links, marked)
         left = after
-        leaders *= LEADER_GROWTH
     out = signed.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     if labels is not None:
         out = out.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left")
