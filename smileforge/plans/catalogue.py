@@ -370,8 +370,8 @@ def tenor(spark, sf_dir):
 def _terms(spark, sf_dir) -> DataFrame:
     """Forward, strike, years, volatility and side from line items."""
     return _t(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("f"), (F.col("l_extendedprice") * (F.lit(0.8) + F.col("l_discount") * 4)).alias("k"),
-        (F.col("l_quantity") / 50).alias("t"), (F.lit(0.2) + F.col("l_tax") * 5).alias("sigma"), F.when(F.col("l_linenumber") % 2 == 0, "C").otherwise("P").alias("side"),
+        "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("f"), (F.col("l_extendedprice") * (F.lit(0.95) + F.col("l_discount"))).alias("k"),
+        (F.lit(0.5) + F.col("l_quantity") / 50).alias("t"), (F.lit(0.2) + F.col("l_tax") * 5).alias("sigma"), F.when(F.col("l_linenumber") % 2 == 0, "C").otherwise("P").alias("side"),
     )
 
 
@@ -388,7 +388,7 @@ def _sql_cdf(x: str) -> str:
     return f"(CASE WHEN {x} > 0 THEN 1 - {upper} ELSE {upper} END)"
 
 
-_TERMS = """te AS (SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE AS f, (l_extendedprice * (0.8::DOUBLE + l_discount * 4))::DOUBLE AS k, (l_quantity / 50)::DOUBLE AS t,
+_TERMS = """te AS (SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE AS f, (l_extendedprice * (0.95::DOUBLE + l_discount))::DOUBLE AS k, (0.5::DOUBLE + l_quantity / 50)::DOUBLE AS t,
   (0.2::DOUBLE + l_tax * 5)::DOUBLE AS sigma, CASE WHEN l_linenumber % 2 = 0 THEN 'C' ELSE 'P' END AS side FROM lineitem),
 d1 AS (SELECT *, (ln(f / k) + sigma * sigma / 2 * t) / (sigma * sqrt(t)) AS a FROM te), d2 AS (SELECT *, a - sigma * sqrt(t) AS b, -a AS na, -(a - sigma * sqrt(t)) AS nb FROM d1)"""
 
@@ -406,7 +406,7 @@ def black76_vega(spark, sf_dir):
     return _terms(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(b76.black76_vega(c("f"), c("k"), c("t"), F.lit(0.01), c("sigma")), 5).alias("vega"))
 
 
-@_query("""SELECT l_orderkey, l_linenumber, round(0.8::DOUBLE + l_discount * 4, 9) AS moneyness, round(ln(0.8::DOUBLE + l_discount * 4), 9) AS log_moneyness FROM lineitem""")
+@_query("""SELECT l_orderkey, l_linenumber, round(0.95::DOUBLE + l_discount, 9) AS moneyness, round(ln(0.95::DOUBLE + l_discount), 9) AS log_moneyness FROM lineitem""")
 def moneyness(spark, sf_dir):
     c = F.col
     return _terms(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(b76.moneyness(c("k"), c("f")), 9).alias("moneyness"), F.round(b76.log_moneyness(c("k"), c("f")), 9).alias("log_moneyness"))
@@ -445,20 +445,19 @@ def _quotes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Option mids in coin with known volatility, and forwards, at the first day of 1995."""
     c = F.col
     t0 = 788918400000
-    base = _t(spark, sf_dir, "lineitem").where("l_shipdate < TIMESTAMP_NTZ '1996-01-01'").groupBy("l_shipdate").agg(F.round(F.avg("l_extendedprice"), 0).alias("forward_price"))
+    base = _t(spark, sf_dir, "lineitem").where("l_shipdate BETWEEN TIMESTAMP_NTZ '1995-04-01' AND TIMESTAMP_NTZ '1995-12-31'").groupBy("l_shipdate").agg(F.round(F.avg("l_extendedprice"), 0).alias("forward_price"))
     base = base.withColumn("expiry", c("l_shipdate").cast("timestamp") + F.expr("INTERVAL 8 HOURS"))
     forwards = base.select(F.lit(t0).alias("timestamp"), "expiry", "forward_price")
-    grid = base.withColumn("m", F.explode(F.array(*[F.lit(x) for x in (0.8, 0.9, 1.0, 1.1, 1.25)]))).withColumn("strike", F.round(c("forward_price") * c("m"), 0))
-    years = s.tenor_days(c("expiry"), F.lit(t0)) / 365.25
-    vol = F.lit(0.5) + F.pow(c("m") - 1, F.lit(2.0))
-    coin = b76.black76_price(c("forward_price"), c("strike"), years, F.lit(0.0), vol, F.lit("C")) / c("forward_price")
+    grid = base.withColumn("m", F.explode(F.array(*[F.lit(x) for x in (0.9, 0.95, 1.0, 1.05, 1.1)]))).withColumn("strike", F.round(c("forward_price") * c("m"), 0))
+    grid = grid.withColumns({"years": s.tenor_days(c("expiry"), F.lit(t0)) / 365.25, "vol": F.lit(0.5) + F.pow(c("m") - 1, F.lit(2.0))})
+    coin = b76.black76_price(c("forward_price"), c("strike"), c("years"), F.lit(0.0), c("vol"), F.lit("C")) / c("forward_price")
     symbol = F.concat(F.lit("BTC-USD-"), F.date_format("l_shipdate", "yyMMdd"), F.lit("-"), c("strike").cast("bigint").cast("string"), F.lit("-C"))
     return grid.select(F.lit(t0).alias("timestamp"), symbol.alias("symbol"), coin.alias("mid_price")), forwards
 
 
 @_query("""
-WITH f AS (SELECT l_shipdate, round(avg(l_extendedprice), 0) AS fp FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' GROUP BY 1),
-g AS (SELECT *, unnest([0.8::DOUBLE, 0.9, 1.0, 1.1, 1.25]) AS m FROM f)
+WITH f AS (SELECT l_shipdate, round(avg(l_extendedprice), 0) AS fp FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1995-04-01' AND TIMESTAMP '1995-12-31' GROUP BY 1),
+g AS (SELECT *, unnest([0.9::DOUBLE, 0.95, 1.0, 1.05, 1.1]) AS m FROM f)
 SELECT 788918400000 AS timestamp, (l_shipdate + INTERVAL 8 HOUR) AS expiry, round(fp * m, 0)::BIGINT AS strike, 'C' AS option_type, fp AS forward_price,
   round(0.5::DOUBLE + pow(m - 1, 2), 4) AS implied_vol FROM g""")
 def iv_points(spark, sf_dir):
