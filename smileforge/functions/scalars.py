@@ -107,3 +107,13 @@ def linspace(low: Column, high: Column, n: int) -> Column:
 
 def ticks_within(values: list[float], low: Column, high: Column) -> Column:
     return F.filter(F.array(*[F.lit(v) for v in values]), lambda v: (v >= low) & (v <= high))
+
+
+def number_label(x: Column, digits: int = 2) -> Column:
+    """``1,234.50``."""
+    return F.format_number(x, digits)
+
+
+def percent_label(share: Column, digits: int = 1) -> Column:
+    """``12.5%`` of a share of 0.125."""
+    return F.format_string(f"%.{digits}f%%", share * 100)

@@ -8,6 +8,8 @@ price is ``l_extendedprice``.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from ..functions import black76 as b76
 from ..functions import scalars as s
 from ..functions import symbols as sym
 from ..operators import analytics as a
-from ..operators import asof, orderbook, surface
+from ..operators import asof, orderbook, plots, surface
+from ..sources.planner import create_date_chunks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -561,3 +564,58 @@ def padded_range(spark, sf_dir):
 @_query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 60)")
 def groups_of_enough(spark, sf_dir):
     return a.enough(_t(spark, sf_dir, "events"), "user_id", 60).select("event_id", "user_id")
+
+
+@_query("""
+WITH q AS (SELECT quantile_cont(l_extendedprice::DOUBLE, [0.05, 0.95]) AS x, quantile_cont((l_quantity / 50)::DOUBLE, [0.05, 0.95]) AS t, quantile_cont(l_discount::DOUBLE, [0.05, 0.95]) AS z FROM lineitem)
+SELECT round(x[1] - (x[2] - x[1]) * 0.1, 6) AS x_low, round(x[2] + (x[2] - x[1]) * 0.1, 6) AS x_high, round(greatest(0, z[1] - (z[2] - z[1]) * 0.1), 6) AS z_low, round(z[2] + (z[2] - z[1]) * 0.1, 6) AS z_high,
+  round(log10(greatest(1 / 365.0::DOUBLE, t[1])), 6) AS log_t_low, round(log10(greatest(1 / 365.0::DOUBLE, t[2])), 6) AS log_t_high FROM q""")
+def viewer_bounds(spark, sf_dir):
+    df = _t(spark, sf_dir, "lineitem").withColumn("years", F.col("l_quantity") / 50)
+    out = a.viewer_bounds(df, "l_extendedprice", "years", "l_discount")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@_query(f"""
+WITH {_E} SELECT ms AS timestamp, value AS price FROM e WHERE user_id = 7 AND event_type = 'click' AND ms BETWEEN {_CENTER} - 864000000 AND {_CENTER} + 864000000""")
+def price_points(spark, sf_dir):
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("strike"), F.lit("C").alias("option_type"), F.col("ms").alias("timestamp"), F.col("value").alias("price"), F.col("value").alias("mark_price"), F.when(F.col("event_type") == "click", "buy").otherwise("sell").alias("direction"))
+    return plots.plot_prices(e, 7, "C", _CENTER - 864_000_000, _CENTER + 864_000_000)["buys"]
+
+
+@_query("SELECT event_id, format('{:,.2f}', value * 1000) AS number, printf('%.2f%%', value) AS percent FROM events WHERE event_id % 10 = 3")
+def number_labels(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").where("event_id % 10 = 3")
+    return e.select("event_id", s.number_label(F.col("value") * 1000).alias("number"), s.percent_label(F.col("value") / 100, 2).alias("percent"))
+
+
+@_query("""
+WITH h AS (SELECT l_returnflag AS strike, date_trunc('month', l_shipdate) AS hour, l_quantity * l_extendedprice AS v FROM lineitem),
+g AS (SELECT strike, hour FROM (SELECT DISTINCT strike FROM h) CROSS JOIN (SELECT DISTINCT hour FROM h)),
+c AS (SELECT g.strike, g.hour, coalesce(sum(v), 0) AS value FROM g LEFT JOIN h USING (strike, hour) GROUP BY ALL)
+SELECT strike, hour, round(value, 0) AS value, round(avg(value) OVER (PARTITION BY strike ORDER BY hour ROWS 2 PRECEDING), 0) AS rolling FROM c""")
+def value_pivot_rolling3(spark, sf_dir):
+    h = _t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("strike"), F.date_trunc("month", F.col("l_shipdate")).cast("timestamp_ntz").alias("hour"), F.col("l_quantity").alias("amount"), F.col("l_extendedprice").alias("price"))
+    out = a.create_value_pivot(h)
+    return out.select("strike", "hour", F.round("value", 0).alias("value"), F.round("rolling", 0).alias("rolling"))
+
+
+@_query("""
+SELECT strike, round(coalesce(sum(v) FILTER (k = 0), 0), 4) AS "0", round(coalesce(sum(v) FILTER (k = 1), 0), 4) AS "1", round(coalesce(sum(v) FILTER (k = 2), 0), 4) AS "2"
+FROM (SELECT event_type AS strike, user_id % 3 AS k, value AS v FROM events) GROUP BY 1""")
+def wide_pivot(spark, sf_dir):
+    cells = a.dense_cells(_t(spark, sf_dir, "events").select(F.col("event_type").alias("strike"), (F.col("user_id") % 3).alias("k"), "value"), "strike", "k", F.col("value"))
+    out = a.wide(cells, "strike", "k", "value")
+    return out.select("strike", *[F.round(F.col(f"`{c}`"), 4).alias(c) for c in out.columns if c != "strike"])
+
+
+@_query("SELECT event_id, len(list_filter([10.0::DOUBLE, 50, 100, 200, 400], lambda v: v >= value / 2 AND v <= value))::INT AS n_ticks FROM events WHERE event_id % 10 = 3")
+def axis_ticks(spark, sf_dir):
+    return _t(spark, sf_dir, "events").where("event_id % 10 = 3").select("event_id", F.size(s.ticks_within([10.0, 50.0, 100.0, 200.0, 400.0], F.col("value") / 2, F.col("value"))).alias("n_ticks"))
+
+
+@_query("""
+SELECT (epoch_ms(d) - 28800000)::BIGINT AS begin_ms, (epoch_ms(least(d + INTERVAL 19 DAY, TIMESTAMP '2025-02-28')) + 86399000 - 28800000)::BIGINT AS end_ms
+FROM (SELECT unnest(range(TIMESTAMP '2025-01-01', TIMESTAMP '2025-03-01', INTERVAL 20 DAY)) AS d)""")
+def date_chunks(spark, sf_dir):
+    return spark.createDataFrame(create_date_chunks(date(2025, 1, 1), date(2025, 3, 1), 1), "begin_ms bigint, end_ms bigint")

@@ -7,6 +7,7 @@ unreadable files are skipped where asked for.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -62,11 +63,13 @@ def fetch_market_data(
     include_criterion: Callable[[str], bool] | None = None,
     process_fn: Callable[[DataFrame], DataFrame] | None = None,
     lister: Callable[[int, int], list[str]] | None = None,
+    delay: float = 0.0,
 ) -> DataFrame:
     """One scan over all files of the planned chunks.
 
     ``root`` holds folders ``<yyyy-mm-dd>/`` of files; ``lister(begin_ms,
-    end_ms)`` may name the files of a chunk instead.  Files are pruned by
+    end_ms)`` may name the files of a chunk instead, called with ``delay``
+    seconds between chunks.  Files are pruned by
     family (futures) and by ``include_criterion`` before the scan; nothing found
     gives an empty frame.  ``process_fn`` is applied to the lazy frame.
     """
@@ -75,7 +78,9 @@ def fetch_market_data(
     if futures and not include_criterion:
         wanted.append(family_filter(inst_family_list))
     paths = []
-    for begin, end in create_date_chunks(start_date, end_date, module, date_aggr_type):
+    for n, (begin, end) in enumerate(create_date_chunks(start_date, end_date, module, date_aggr_type)):
+        if n and delay:
+            time.sleep(delay)
         for path in lister(begin, end) if lister else list_files(spark, root, begin, end, module):
             if all(w(path.rsplit("/", 1)[-1]) for w in wanted):
                 paths.append(path)

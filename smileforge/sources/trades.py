@@ -100,3 +100,16 @@ def get_trades(spark: SparkSession, keys: list[str], start: int, end: int | None
     if end is not None:
         reader = reader.option("end", end)
     return dedup_trades(reader.load())
+
+
+def get_trades_by_instrument(spark: SparkSession, instrument_names: list[str], start: int, end: int | None, page_module: str, page_function: str) -> DataFrame:
+    """As ``get_trades``, with instruments as keys of the page function."""
+    return get_trades(spark, instrument_names, start, end, page_module, page_function)
+
+
+def one_page(spark: SparkSession, page: PageFunction, key: str, start: int, end: int | None = None, sorting: str | None = None, count: int = PAGE_SIZE) -> DataFrame:
+    """One page of trades, at most ``count`` rows; ``sorting`` is asc or desc by time."""
+    rows, _ = page(key, start, end, count)
+    names = [x.rsplit(" ", 1)[0] for x in schemas.TRADES.split(", ")]
+    out = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows[:count]], schemas.TRADES)
+    return out.orderBy("timestamp" if sorting == "asc" else F.desc("timestamp")) if sorting else out
