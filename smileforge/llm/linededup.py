@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import Workspace, fresh, table
 
 #: A line is boilerplate if it is on more than this share of its host's pages,
 MAX_RATIO = 0.08
 #: and on at least so many of them (a host of few pages says nothing about its lines).
 MIN_PAGES = 5
+#: Boilerplate lines of all hosts up to which their hashes (16 bytes each) are broadcast; more are joined by host.
+BROADCAST_LINES = 500_000
 _BLANK = r"^[\x20\x09-\x0D]*$"
 
 
@@ -33,7 +35,6 @@ def boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RA
     A host has at most (its mean number of lines a page / ``max_ratio``) of them,
     however many pages it has.  Counts are combined before the shuffle.
     """
-    # The host's own marker line (null) counts its pages in the same aggregation.
     keys = F.transform(F.filter(F.array_distinct(_lines(F.col("text"))), lambda x: ~x.rlike(_BLANK)), _key)
     per_line = docs.select(F.col(host).alias("host_"), F.explode(keys).alias("k_")).groupBy("host_", "k_").agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") >= min_pages)
     pages = docs.groupBy(F.col(host).alias("of_")).agg(F.count(F.lit(1)).alias("pages_"))
@@ -52,7 +53,10 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = M
     replaced.
     """
     boiler_host, boiler_lines = fresh(docs, "host_", "lines_")
-    boiler = boilerplate(docs, host, max_ratio, min_pages).toDF(boiler_host, boiler_lines)
+    boiler = Workspace(docs.sparkSession, "lines").write(boilerplate(docs, host, max_ratio, min_pages).toDF(boiler_host, boiler_lines))
+    known = boiler.agg(F.coalesce(F.sum(F.size(boiler_lines)), F.lit(0))).first()[0]
+    if known <= BROADCAST_LINES:  # texts stay where they are; beyond the bound the join by host splits hot hosts
+        boiler = F.broadcast(boiler)
     joined = docs.join(boiler, F.col(f"`{host}`").eqNullSafe(F.col(boiler_host)), "left")
     kept = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.col(boiler_lines), _key(x)))
     text = F.when(F.col(boiler_lines).isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

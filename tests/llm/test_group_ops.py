@@ -27,7 +27,9 @@ def test_ten_queries():
 # ---- line dedup ----
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("bound", [linededup.BROADCAST_LINES, 0])
+def test_lines(spark, monkeypatch, bound):
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", bound)
     rows = [(i, f"unique {i}\nshared\n\n", "a") for i in range(10)] + [(i, "shared\nother", "b") for i in range(10, 13)] + [(20 + i, "shared", None) for i in range(6)] + [(30, None, "a"), (31, "shared\nshared", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"host_": F.lit(1), "lines_": F.lit(2), "n_lines": F.lit("x")})
     out = {r["doc_id"]: r for r in linededup.drop_boilerplate(df).collect()}
