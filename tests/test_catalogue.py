@@ -20,3 +20,18 @@ def test_entry_imports(spark, sf_dir):
 
     assert set(QUERIES) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_entry_without_the_text_subpackage(tmp_path):
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    repo = pathlib.Path(__file__).resolve().parent.parent
+    shutil.copytree(repo / "smileforge", tmp_path / "smileforge", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(n.startswith('op1') for n in q); assert set(e.oracle_sql()) <= set(q); print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) == len(QUERIES)
