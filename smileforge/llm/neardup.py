@@ -204,9 +204,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     lower-cased; with fewer words, the whole sequence).  Documents are linked if
     100 * intersection >= ``percent`` * union.  A null text or one without words
     has the empty set and is linked with nothing.  The component is named by
-    its smallest id, and that document is kept.  Rows that share an id count
-    as one document and are linked if any of their texts is; a null id is
-    linked with nothing and kept.  An empty table gives an empty result; other
+    its smallest id, and that document is kept.  Rows that share an id are
+    one document (of different texts under one id, one is compared); a null id
+    is linked with nothing and kept.  An empty table gives an empty result; other
     columns play no part.  A link at exactly 80 % is missed with a chance of
     5e-8 (32 bands of 4 values), a closer one with less.
     """
