@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import hold, table
 
 VOCABULARY = "byte_bpe_50k.json"
 _SPACES = r"\t-\r \x85\xa0  -     　"
@@ -35,7 +35,7 @@ _SPACES = r"\t-\r \x85\xa0  -     　"
 _COARSE = re.compile(rf" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
 _FINE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACES}\p{{L}}\p{{N}}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
 #: Distinct chunks whose ids a Python worker keeps; emptied when full.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 250_000
 #: Longer chunks are not kept.
 CACHE_CHARS = 64
 
@@ -92,7 +92,7 @@ class Codec:
         key = left << 20 | right
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) > 2_000_000:
+            if len(self._compatible) > 500_000:
                 self._compatible.clear()
             known = self._compatible[key] = self._check(left, right)
         return known
@@ -227,6 +227,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe", codec.cache_clear)
         c = codec(vocabulary_path(vocabulary))
         for batch in batches:
             ids = [c.encode(t or "") for t in batch.column("text").to_pylist()]
@@ -241,6 +242,7 @@ def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; as ``encode``, but only digests leave the workers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe", codec.cache_clear)
         c = codec(vocabulary_path(vocabulary))
         for batch in batches:
             rows = [], [], []

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +58,26 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
+_HELD: list = [None, None]
+
+
+def hold(owner: str, release: Callable[[], None]) -> None:
+    """Called by an operator that keeps tables in its Python worker: those of another operator are released.
+
+    Workers are reused from query to query, so without this their tables would add up.
+    """
+    if _HELD[0] != owner:
+        if _HELD[1]:
+            _HELD[1]()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+        _HELD[:] = [owner, release]
+
+
 def sized(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import table
+from .common import hold, table
 from .tokencount import MARK, unigram_scores
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -240,6 +240,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("langid", _automaton.cache_clear)
         m = shared.value
         for batch in batches:
             got = [m.predict(t.as_py()) for t in batch.column("text")]

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, table
-from .wordhash import mix, shingle_sets, text_chunks
+from .common import Workspace, fresh, hold, table
+from .wordhash import mix, release, shingle_sets, text_chunks
 
 PERMUTATIONS = 64
 #: Values of the signature in one band.
@@ -70,6 +70,7 @@ def _signed(docs: DataFrame, width: int, permutations: int, rows: int) -> DataFr
     """(doc_id, n_shingles, set_hash, bands) of every row; the set hash is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("neardup", release)
         for batch in batches:
             n, digests, keys = [], [], []
             for _, data, offsets in text_chunks(batch.column("text")):
@@ -86,6 +87,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, shingles): the sorted set as 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("neardup", release)
         for batch in batches:
             sets = [s.tobytes() for _, data, offsets in text_chunks(batch.column("text")) for s in shingle_sets(data, offsets, width)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
@@ -97,6 +99,7 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
     """Of (a, b, set_a, set_b), the pairs (a, b) whose sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("neardup", release)
         for batch in batches:
             keep = []
             before, left = None, None

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import vocabulary_path
-from .common import table
+from .common import hold, table
 from .wordhash import text_chunks, word_hashes, word_spans
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -150,6 +150,7 @@ def rules(docs: DataFrame, bands: dict[str, tuple[float, float, float, float]] =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("quality", _fertility.cache_clear)
         f = _fertility(vocabulary_path(PIECES), vocabulary_path(RANKS))
         for batch in batches:
             out: dict[str, list] = {k: [] for k in _FIELDS}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import vocabulary_path
-from .common import table
+from .common import hold, table
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -131,6 +131,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("tokencount", _counter.cache_clear)
         counter = _counter(vocabulary_path(vocabulary))
         for batch in batches:
             n_words, n_tokens = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)

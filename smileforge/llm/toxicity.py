@@ -12,6 +12,7 @@ gives the score.
 
 from __future__ import annotations
 
+import gc
 import random
 import re
 from collections import Counter
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hold, table
 from .langid import held_out
 
 #: Labelled documents of either kind that the model is fitted on, about; chosen by a hash of the id.
@@ -180,6 +181,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", gc.collect)
         m = shared.value
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([m.score(t.as_py()) for t in batch.column("text")], pa.float64())], ["doc_id", "score"])
@@ -193,6 +195,7 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = PREDICT_FROM) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", gc.collect)
         m = shared.value
         for batch in batches:
             text = batch.column(place)

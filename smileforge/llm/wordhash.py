@@ -16,7 +16,7 @@ _SEED = 20240229
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Text bytes hashed together; bounds the temporaries of one numpy pass.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 _EXACT = np.random.default_rng(_SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -75,13 +75,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 _POWERS: list[np.ndarray] = []
 
 
+def release() -> None:
+    """Forget the table of powers."""
+    _POWERS.clear()
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 2 * CHUNK_BYTES)
         up, down = np.full(size, _BASE), np.full(size, _INV)
         up[0] = down[0] = 1
         pair = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-        if n > 8 * CHUNK_BYTES:
+        if n > 2 * CHUNK_BYTES:
             return pair[0], pair[1]
         _POWERS[:] = pair
     return _POWERS[0], _POWERS[1]
