@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 
@@ -18,7 +19,7 @@ def connect(sf_dir):
 def cell(v):
     if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return "NULL"
-    if isinstance(v, (int, float)) and not isinstance(v, bool):
+    if isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, bool):
         return repr(round(float(v), 7))
     return str(v)
 
