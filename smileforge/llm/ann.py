@@ -28,7 +28,7 @@ BITS = 32
 #: A query ascends until this share of a block's rows are candidates (and at least as many as it returns).
 CANDIDATE_SHARE = 0.55
 #: Rows of a block and queries of a chunk, about.
-BLOCK_ROWS, CHUNK_QUERIES = 2048, 8192
+BLOCK_ROWS, CHUNK_QUERIES = 8192, 8192
 NEIGHBOURS = 20
 
 
