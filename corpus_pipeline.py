@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source leave its texts; n_chars follows the text."""
-    out = linededup.drop_boilerplate(docs).select(*docs.columns)
+    """Boilerplate lines of a source, or of a source's texts in one language, leave its texts; n_chars follows the text."""
+    out = linededup.drop_boilerplate(docs, part="lang").select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

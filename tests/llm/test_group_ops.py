@@ -40,6 +40,23 @@ def test_lines(spark, monkeypatch, bound):
     assert out[0]["host_"] == 1 and linededup.drop_boilerplate(df.where("false")).count() == 0
 
 
+def test_lines_of_minority_languages(spark):
+    import corpus_pipeline as cp
+
+    rows = [(i, f"unique {i}\nads\nmixed" if i < 100 else f"unique {i}\nrare", "en", "a") for i in range(1000)]
+    rows += [(1000 + i, f"unique {1000 + i}\nannonces" if i < 10 else f"unique {1000 + i}", "fr", "a") for i in range(50)]
+    rows += [(2000 + i, f"unique {2000 + i}\nanuncios" if i < 8 else f"unique {2000 + i}", None, "a") for i in range(40)]
+    rows += [(3000 + i, f"unique {3000 + i}\nzu selten" if i < 4 else f"unique {3000 + i}", "de", "a") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    whole = {r["doc_id"]: r["text"] for r in linededup.drop_boilerplate(df).collect()}
+    assert whole[0] == "unique 0" and whole[1000] == "unique 1000\nannonces"  # the ratio of all pages misses it
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.drop_boilerplate_lines(spark, df, "").collect()}
+    assert len(got) == len(rows) and all(got[i][0] == f"unique {i}" for i in [*range(100), *range(1000, 1050), *range(2000, 2040)])
+    assert got[100] == ("unique 100", 10) and got[3000][0] == "unique 3000\nzu selten"  # four pages say too little
+    few = df.where("doc_id % 1000 in (0, 1) and doc_id < 3000").union(df.where("doc_id = 0")).withColumn("text", F.lit("shared"))
+    assert {r["text"] for r in linededup.drop_boilerplate(few, part="lang").collect()} == {""}  # on five pages of several languages
+
+
 def test_line_edges(edge):  # noqa: F811
     assert linededup.drop_boilerplate(edge).count() == len(EDGE)
 
