@@ -2,7 +2,8 @@
 
 Words of a text are encoded with two public vocabularies.  A document's
 characters per token (both), share of byte-fallback tokens and entropy of its
-tokens must lie within the band of its script.
+tokens must lie within the band of its script, and its characters per token and
+entropy also within fences fitted on the texts of its language in the same table.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import hold, table
+from .common import Workspace, hold, table
 from .wordhash import text_chunks, word_hashes, word_spans
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -37,6 +39,10 @@ BANDS = {
     "other": (0.25, 9.0, 0.80, 2.5),
 }
 BAND_TOKENS = 50
+#: A measure's fences lie so many interquartile ranges outside the quartiles of its group,
+FENCE = 2.5
+#: a range counting as this share of the lower quartile at least; smaller groups than FENCE_ROWS texts have none.
+LEAST_RANGE, FENCE_ROWS = 0.01, 100
 #: Distinct words whose ids a Python worker keeps; emptied when full.
 CACHE_WORDS = 250_000
 #: Words encoded together.
@@ -140,13 +146,14 @@ def duplicate_lines(text: str) -> int:
 _FIELDS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "script": pa.string(), "chars_per_piece": pa.float64(), "chars_per_rank": pa.float64(), "fallback_share": pa.float64(), "token_entropy": pa.float64()}
 
 
-def rules(docs: DataFrame, bands: dict[str, tuple[float, float, float, float]] = BANDS) -> DataFrame:
+def rules(docs: DataFrame, bands: dict[str, tuple[float, float, float, float]] = BANDS, lang: str | None = None) -> DataFrame:
     """Base counts, fertility measures and verdict of every row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text; a null text has none
     and fails the base rules.  The measures of a text without words are 0.
     Repeated rows give repeated rows, an empty table an empty result; other
-    columns play no part.  There is no shuffle.
+    columns play no part, but ``lang`` names one that is put out as lang_.
+    There is no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,11 +178,67 @@ def rules(docs: DataFrame, bands: dict[str, tuple[float, float, float, float]] =
                     ok = within(bands.get(kind, bands["other"]), a, b, c, entropy, pieces)
                     for name, v in zip(_FIELDS, (n, chars, sum(map(text.count, "#*$%&|<>")), duplicate_lines(text), repeat, failed, not failed and ok, kind, a, b, c, entropy), strict=True):
                         out[name].append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[k], t) for k, t in _FIELDS.items())], ["doc_id", *_FIELDS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in first), *(pa.array(out[k], t) for k, t in _FIELDS.items())], [*first, *_FIELDS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, chars_per_piece double, chars_per_rank double, fallback_share double, token_entropy double")
+    first = ["doc_id"] if lang is None else ["doc_id", "lang_"]
+    more = [] if lang is None else [F.col(f"`{lang}`").cast("string").alias("lang_")]
+    return docs.select("doc_id", *more, "text").mapInArrow(run, f"doc_id {kind}, {'' if lang is None else 'lang_ string, '}n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, chars_per_piece double, chars_per_rank double, fallback_share double, token_entropy double")
+
+
+def _length() -> Column:
+    """Pieces of a text as a power of two: entropy grows with a text's length, so it is compared among texts of like length."""
+    pieces = F.col("word_chars") / F.nullif(F.col("chars_per_piece"), F.lit(0.0))
+    return F.floor(F.log2(F.greatest(pieces, F.lit(1.0)))).cast("int")
+
+
+def fences(measured: DataFrame) -> DataFrame:
+    """Fences by script, language and length, from the texts of ``measured`` that pass the base rules; copies count once.
+
+    Characters per token have one pair of fences a language, entropy a lower
+    fence a length.  A length of too few texts takes the fence of the next
+    shorter length that has one, and a language of too few texts has none.
+    Quantiles come from sketches of bounded size.
+    """
+    texts = measured.where("not base_failed").select("script", "lang_", _length().alias("length_"), "word_chars", "chars_per_piece", "chars_per_rank", "token_entropy").distinct()
+
+    def quartiles(*by: str) -> DataFrame:
+        q = {c: F.percentile_approx(c, [0.25, 0.75], 10_000) for c in ("chars_per_piece", "chars_per_rank", "token_entropy")}
+        return texts.groupBy(*by).agg(F.count(F.lit(1)).alias("n_"), *[x.alias(c) for c, x in q.items()])
+
+    def fence(c: str, upper: bool = False) -> Column:
+        low, high = F.col(c)[0], F.col(c)[1]
+        reach = FENCE * F.greatest(high - low, LEAST_RANGE * low)
+        return F.when(F.col("n_") >= FENCE_ROWS, high + reach if upper else low - reach)
+
+    tokens = quartiles("script", "lang_").where(F.col("n_") >= FENCE_ROWS).select(
+        F.col("script").alias("of_script"), F.col("lang_").alias("of_lang"),
+        *[fence(c, upper).alias(f"{c}_{end}") for c in ("chars_per_piece", "chars_per_rank") for end, upper in (("low", False), ("high", True))],
+    )
+    shorter = Window.partitionBy("script", "lang_").orderBy("length_")
+    lengths = quartiles("script", "lang_", "length_").select("script", "lang_", "length_", F.last(fence("token_entropy"), ignorenulls=True).over(shorter).alias("entropy_low"))
+    return lengths.join(tokens, F.col("script").eqNullSafe(F.col("of_script")) & F.col("lang_").eqNullSafe(F.col("of_lang")), "inner").select(
+        "of_script", "of_lang", F.col("length_").alias("of_length"), "entropy_low", *[c for c in tokens.columns if c.startswith("chars_")]
+    )
+
+
+def fitted_rules(docs: DataFrame, lang: str = "lang") -> DataFrame:
+    """``rules`` with the fences of the table itself: a text outside those of its language is not kept.
+
+    The measures of all rows are taken once and written to the shared folder;
+    the fences are a few numbers a language.
+    """
+    space = Workspace(docs.sparkSession, "quality")
+    measured = space.write(rules(docs, lang=lang))
+    known = space.write(fences(measured))
+    within_ = F.lit(True)
+    for c in ("chars_per_piece", "chars_per_rank"):
+        within_ &= F.coalesce(F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high")), F.lit(True))
+    within_ &= F.coalesce(F.col("token_entropy") >= F.col("entropy_low"), F.lit(True))
+    same = F.col("script").eqNullSafe(F.col("of_script")) & F.col("lang_").eqNullSafe(F.col("of_lang")) & _length().eqNullSafe(F.col("of_length"))
+    columns = [(F.col("kept") & within_).alias("kept") if c == "kept" else F.col(c) for c in ["doc_id", *_FIELDS]]
+    return measured.join(known, same, "left").select(*columns)
 
 
 def op1_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules(table(spark, sf_dir, "documents"))
+    return fitted_rules(table(spark, sf_dir, "documents"))

@@ -136,6 +136,28 @@ def test_bands_reject_what_is_no_prose(spark):
     assert quality.script("привет мир") == "cyrillic" and quality.script("漢字") == "cjk" and quality.script("1 2") == "other"
 
 
+def test_fences_reject_what_the_bands_let_pass(spark):
+    rng = random.Random(3)
+    syllables = [a + b for a in "b d f g l m n p r s t v th st".split() for b in "a e i o u en er on".split()]
+    lexicon = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(3000)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    prose = [" ".join(rng.choice(lexicon) for _ in range(rng.randrange(150, 900))) for _ in range(400)]
+    gibberish = " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 10))) for _ in range(400))
+    base32 = " ".join("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(60)) for _ in range(100))
+    spam = " ".join(rng.choice(lexicon) + rng.choice(["%%%", "***"]) for _ in range(400))
+    menu = " | ".join(rng.choice(lexicon) for _ in range(400))
+    rows = [(i, t, "xx") for i, t in enumerate(prose)] + [(1000 + i, t, "xx") for i, t in enumerate([gibberish, base32, spam, menu])]
+    rows += [(2000, gibberish, "yy"), (2001, gibberish, None)]  # languages of one text have no fences
+    rows += [(3000 + i, prose[0], "xx") for i in range(900)]  # copies narrow nothing
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in quality.rules(df).collect() if r["kept"]} >= {1000, 1001, 1002, 1003}
+    got = quality.fitted_rules(df).collect()
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert len(got) == len(rows) and not kept & {1000, 1001, 1002, 1003} and {2000, 2001} <= kept
+    assert len(kept & set(range(400))) >= 380 and kept >= set(range(3000, 3900))
+    assert quality.fitted_rules(df.where("false")).count() == 0
+
+
 def test_word_probability_sums_all_segmentations(spark, sf_dir):
     m = langid.train(table(spark, sf_dir, "documents"))
     a, n = langid._automaton(m.path)
