@@ -333,6 +333,14 @@ def trade_windows_many(spark, sf_dir):
     return asof.windows_around(e, e.where("event_id % 500 = 0").select(F.col("ms").alias("center")), 600_000, "ms").select("event_id", "center", "time_offset")
 
 
+@_query(f"""
+WITH {_E} SELECT e.event_id, c.ms AS center, (e.ms - c.ms) / 1000.0::DOUBLE AS time_offset FROM e JOIN e c ON e.ms BETWEEN c.ms - 600000 AND c.ms + 600000""")
+def trade_windows_every(spark, sf_dir):
+    """As above around every event."""
+    e = _events(spark, sf_dir)
+    return asof.windows_around(e, e.select(F.col("ms").alias("center")), 600_000, "ms").select("event_id", "center", "time_offset")
+
+
 @_query("""
 SELECT o_orderkey, o_orderdate FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_shipdate = o_orderdate AND l_returnflag = 'R')""")
 def symbol_semi_join(spark, sf_dir):
@@ -589,6 +597,12 @@ def number_labels(spark, sf_dir):
     return e.select("event_id", s.number_label(F.col("value") * 1000).alias("number"), s.percent_label(F.col("value") / 100, 2).alias("percent"))
 
 
+@_query("SELECT event_id, format('{:,.2f}', value * 1000) AS number, printf('%.2f%%', value) AS percent FROM events")
+def number_labels_every(spark, sf_dir):
+    """As above for every event."""
+    return _t(spark, sf_dir, "events").select("event_id", s.number_label(F.col("value") * 1000).alias("number"), s.percent_label(F.col("value") / 100, 2).alias("percent"))
+
+
 @_query("""
 WITH h AS (SELECT l_returnflag AS strike, date_trunc('month', l_shipdate) AS hour, l_quantity * l_extendedprice AS v FROM lineitem),
 g AS (SELECT strike, hour FROM (SELECT DISTINCT strike FROM h) CROSS JOIN (SELECT DISTINCT hour FROM h)),
@@ -614,6 +628,12 @@ def axis_ticks(spark, sf_dir):
     return _t(spark, sf_dir, "events").where("event_id % 10 = 3").select("event_id", F.size(s.ticks_within([10.0, 50.0, 100.0, 200.0, 400.0], F.col("value") / 2, F.col("value"))).alias("n_ticks"))
 
 
+@_query("SELECT event_id, len(list_filter([10.0::DOUBLE, 50, 100, 200, 400], lambda v: v >= value / 2 AND v <= value))::INT AS n_ticks FROM events")
+def axis_ticks_every(spark, sf_dir):
+    """As above for every event."""
+    return _t(spark, sf_dir, "events").select("event_id", F.size(s.ticks_within([10.0, 50.0, 100.0, 200.0, 400.0], F.col("value") / 2, F.col("value"))).alias("n_ticks"))
+
+
 @_query("""
 SELECT (epoch_ms(d) - 28800000)::BIGINT AS begin_ms, (epoch_ms(least(d + INTERVAL 19 DAY, TIMESTAMP '2025-02-28')) + 86399000 - 28800000)::BIGINT AS end_ms
 FROM (SELECT unnest(range(TIMESTAMP '2025-01-01', TIMESTAMP '2025-03-01', INTERVAL 20 DAY)) AS d)""")
