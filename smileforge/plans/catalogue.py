@@ -452,14 +452,17 @@ def solver_report(spark, sf_dir):
     return a.solver_report(solved).select("status", "n", "share")
 
 
-def _quotes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+_EASY = "l_shipdate BETWEEN TIMESTAMP_NTZ '1995-04-01' AND TIMESTAMP_NTZ '1995-12-31'"
+
+
+def _quotes(spark, sf_dir, dates: str = _EASY, strikes: tuple[float, ...] = (0.9, 0.95, 1.0, 1.05, 1.1)) -> tuple[DataFrame, DataFrame]:
     """Option mids in coin with known volatility, and forwards, at the first day of 1995."""
     c = F.col
     t0 = 788918400000
-    base = _t(spark, sf_dir, "lineitem").where("l_shipdate BETWEEN TIMESTAMP_NTZ '1995-04-01' AND TIMESTAMP_NTZ '1995-12-31'").groupBy("l_shipdate").agg(F.round(F.avg("l_extendedprice"), 0).alias("forward_price"))
+    base = _t(spark, sf_dir, "lineitem").where(dates).groupBy("l_shipdate").agg(F.round(F.avg("l_extendedprice"), 0).alias("forward_price"))
     base = base.withColumn("expiry", c("l_shipdate").cast("timestamp") + F.expr("INTERVAL 8 HOURS"))
     forwards = base.select(F.lit(t0).alias("timestamp"), "expiry", "forward_price")
-    grid = base.withColumn("m", F.explode(F.array(*[F.lit(x) for x in (0.9, 0.95, 1.0, 1.05, 1.1)]))).withColumn("strike", F.round(c("forward_price") * c("m"), 0))
+    grid = base.withColumn("m", F.explode(F.array(*[F.lit(x) for x in strikes]))).withColumn("strike", F.round(c("forward_price") * c("m"), 0))
     grid = grid.withColumns({"years": s.tenor_days(c("expiry"), F.lit(t0)) / 365.25, "vol": F.lit(0.5) + F.pow(c("m") - 1, F.lit(2.0))})
     coin = b76.black76_price(c("forward_price"), c("strike"), c("years"), F.lit(0.0), c("vol"), F.lit("C")) / c("forward_price")
     symbol = F.concat(F.lit("BTC-USD-"), F.date_format("l_shipdate", "yyMMdd"), F.lit("-"), c("strike").cast("bigint").cast("string"), F.lit("-C"))
@@ -481,6 +484,23 @@ def surface_grid(spark, sf_dir):
     return surface.surface_grid(surface.compute_option_iv(*_quotes(spark, sf_dir)))
 
 
+def _all_quotes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """As above for every expiry after that day, with wide strikes."""
+    return _quotes(spark, sf_dir, "l_shipdate > TIMESTAMP_NTZ '1995-01-01'", (0.8, 0.9, 0.95, 1.0, 1.05, 1.1, 1.25))
+
+
+@_query()
+def iv_points_every(spark, sf_dir):
+    """No SQL: where the price hardly depends on the volatility, the solution is not the known one to four digits."""
+    out = surface.compute_option_iv(*_all_quotes(spark, sf_dir))
+    return out.select("timestamp", F.col("expiry").cast("timestamp_ntz").alias("expiry"), "strike", "option_type", "forward_price", F.round("implied_vol", 4).alias("implied_vol"))
+
+
+@_query()
+def surface_grid_every(spark, sf_dir):
+    return surface.surface_grid(surface.compute_option_iv(*_all_quotes(spark, sf_dir)))
+
+
 def _trades(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Option marks (in coin) and future prices with short symbols, from events."""
     e = _events(spark, sf_dir)
