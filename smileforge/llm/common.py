@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="smileforge-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -78,6 +79,26 @@ def hold(owner: str, release: Callable[[], None]) -> None:
         _HELD[:] = [owner, release]
 
 
+#: Rows of a side up to which it is broadcast by ``join_side``, and copies of its rows beyond.
+BROADCAST_ROWS, SALTS = 100_000, 16
+
+
+def join_side(rows: DataFrame, side: DataFrame, left: str, right: str, weight: int, how: str = "inner", bound: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined with ``side`` on ``left`` <=> ``right``, where ``left`` may have hot values.
+
+    ``weight`` is the counted size of ``side``.  Up to ``bound`` the side is
+    broadcast and the rows stay where they are; beyond it a row goes to one of
+    SALTS copies of its partner, so that a hot value is dealt over as many tasks.
+    """
+    same = F.col(f"`{left}`").eqNullSafe(F.col(f"`{right}`"))
+    if weight <= bound:
+        return rows.join(F.broadcast(side), same, how)
+    mine, theirs = fresh(rows.join(side.limit(0), F.lit(False)), "salt_", "of_salt_")
+    salted = rows.withColumn(mine, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copies = side.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, same & (F.col(mine) == F.col(theirs)), how).drop(mine, theirs)
+
+
 def sized(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
