@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, table
+from .common import Workspace, fresh, join_side, table
 
 #: A line is boilerplate if it is on more than this share of its host's pages,
 MAX_RATIO = 0.08
 #: and on at least so many of them (a host of few pages says nothing about its lines).
 MIN_PAGES = 5
-#: Boilerplate lines of all hosts up to which their hashes (16 bytes each) are broadcast; more are joined by host.
+#: Boilerplate lines of all hosts up to which their hashes (16 bytes each) are broadcast; more are joined by host and salt.
 BROADCAST_LINES = 500_000
 _BLANK = r"^[\x20\x09-\x0D]*$"
 
@@ -56,24 +56,26 @@ def boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RA
     return whole.unionByName(above(per_line, pages, groups)).groupBy("host_").agg(F.collect_set("k_").alias("lines_"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, part: str | None = None) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, part: str | None = None, counts: bool = True) -> DataFrame:
     """``docs`` with the boilerplate lines taken out of ``text``, and the columns n_lines and n_dropped.
 
     Lines are separated by a line feed and compared exactly.  Lines without a
     word are neither counted nor dropped.  A null text stays null (no lines);
     a text of boilerplate only becomes empty, its row stays.  Null hosts are
     one host, null values of ``part`` one part.  Repeated rows are pages of their own.  An empty table gives an
-    empty result.  Columns of ``docs`` that are named n_lines or n_dropped are
-    replaced.
+    empty result; very long texts are taken whole.  Columns of ``docs`` that are
+    named n_lines or n_dropped are replaced; without ``counts`` nothing is added
+    or replaced but the text.
     """
     boiler_host, boiler_lines = fresh(docs, "host_", "lines_")
     boiler = Workspace(docs.sparkSession, "lines").write(boilerplate(docs, host, max_ratio, min_pages, part).toDF(boiler_host, boiler_lines))
     known = boiler.agg(F.coalesce(F.sum(F.size(boiler_lines)), F.lit(0))).first()[0]
-    if known <= BROADCAST_LINES:  # texts stay where they are; beyond the bound the join by host splits hot hosts
-        boiler = F.broadcast(boiler)
-    joined = docs.join(boiler, F.col(f"`{host}`").eqNullSafe(F.col(boiler_host)), "left")
+    # Within the bound texts stay where they are.
+    joined = join_side(docs, boiler, host, boiler_host, known, "left", BROADCAST_LINES)
     kept = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.col(boiler_lines), _key(x)))
     text = F.when(F.col(boiler_lines).isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    if not counts:
+        return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long")
     n_kept = F.when(F.col("text").isNull(), 0).when(F.col(boiler_lines).isNull(), F.size(_lines(F.col("text")))).otherwise(F.size(kept)).cast("long")
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]

@@ -53,12 +53,16 @@ def test_lines_of_minority_languages(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.drop_boilerplate_lines(spark, df, "").collect()}
     assert len(got) == len(rows) and all(got[i][0] == f"unique {i}" for i in [*range(100), *range(1000, 1050), *range(2000, 2040)])
     assert got[100] == ("unique 100", 10) and got[3000][0] == "unique 3000\nzu selten"  # four pages say too little
+    plain = cp.drop_boilerplate_lines(spark, df.drop("n_chars").withColumn("n_lines", F.lit("mine")), "")
+    assert "n_chars" not in plain.columns and {r["n_lines"] for r in plain.collect()} == {"mine"}
     few = df.where("doc_id % 1000 in (0, 1) and doc_id < 3000").union(df.where("doc_id = 0")).withColumn("text", F.lit("shared"))
     assert {r["text"] for r in linededup.drop_boilerplate(few, part="lang").collect()} == {""}  # on five pages of several languages
 
 
 def test_line_edges(edge):  # noqa: F811
     assert linededup.drop_boilerplate(edge).count() == len(EDGE)
+    own = linededup.drop_boilerplate(edge.withColumn("n_lines", F.lit("mine")), counts=False)
+    assert own.columns == [*edge.columns, "n_lines"] and {r["n_lines"] for r in own.collect()} == {"mine"}
 
 
 # ---- mixing ----
@@ -103,6 +107,23 @@ def test_mix_comes_near(spark):
     assert copies == collections.Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
 
 
+def test_many_sources(spark, monkeypatch):
+    """Targets of many sources equal those of the plain list, whether the sources are broadcast or joined by salt."""
+    rng = random.Random(11)
+    totals = [(f"s{rng.randrange(10**9)}" if k else None, rng.randrange(200)) for k in range(3000)]
+    space = Workspace(spark, "t")
+    got = {(r["source"], r["n"]): r["target"] for r in mixing.target_table(space, spark.createDataFrame(totals, "source string, n long").repartition(5)).collect()}
+    want = {(s, n): t for s, n, t in mixing.targets(totals)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    assert mixing.target_table(space, spark.createDataFrame([], "source string, n long")).count() == 0
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), None if i % 50 == 0 else f"h{i % 400 if i % 3 else 0}") for i in range(6000)], "doc_id long, text string, source string")
+    small = {(r["doc_id"], r["target"], r["copies"]) for r in mixing.mix(docs).collect()}
+    copies = collections.Counter(r["doc_id"] for r in mixing.apply_mix(docs).collect())
+    monkeypatch.setattr("smileforge.llm.common.join_side.__defaults__", ("inner", 0))
+    assert {(r["doc_id"], r["target"], r["copies"]) for r in mixing.mix(docs).collect()} == small and len(small) == 6000
+    assert collections.Counter(r["doc_id"] for r in mixing.apply_mix(docs).collect()) == copies
+
+
 def test_mix_edges(spark, edge, none):  # noqa: F811
     assert mixing.mix(edge).count() == len(EDGE) and mixing.apply_mix(edge).columns == edge.columns
     assert mixing.mix(none).count() == 0 and mixing.apply_mix(none).count() == 0
@@ -138,6 +159,25 @@ def exact(rows, width, percent=80):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
+def exact_by_class(rows, width, percent=80):
+    """As above for many rows: component ids by a matrix product."""
+    words = [t.lower().split() for _, t in rows]
+    sets = [{tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} for w in words]
+    number = {x: k for k, x in enumerate(set().union(*sets))}
+    m = np.zeros((len(rows), len(number)), np.float32)
+    for r, s in zip(m, sets):
+        r[[number[x] for x in s]] = 1
+    both, size = m @ m.T, m.sum(axis=1)
+    near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    ids = np.array([i for i, _ in rows])
+    label = ids.copy()
+    while True:
+        new = np.where(near, label[None, :], np.iinfo(np.int64).max).min(axis=1)
+        if (new == label).all():
+            return dict(zip(ids.tolist(), label.tolist()))
+        label = new
+
+
 def family(seed, copies, edits, length=60):
     rng = random.Random(seed)
     base = [f"w{rng.randrange(5000)}" for _ in range(length)]
@@ -164,6 +204,7 @@ def test_near_duplicates_equal_exact(spark, width):
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """Tiny blocks, so that odd members are dealt over several."""
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 40)
     monkeypatch.setattr(neardup, "BLOCK_COLUMNS", 16)
     monkeypatch.setattr(neardup, "WORTHWHILE", 10.0)
     rows = list(enumerate(family(7, 150, 9)))
@@ -182,10 +223,31 @@ def test_near_duplicate_edges(edge, none):  # noqa: F811
     assert len(rows) == len(EDGE) and all(r["kept"] for r in rows)
     assert [r["component_id"] for r in rows if r["doc_id"] is None] == [None]
     left = neardup.drop_near_duplicates(edge)
-    assert left.columns == edge.columns and left.count() == len(EDGE)
+    assert left.columns == edge.columns and left.count() == len(EDGE) - 1  # of the repeated row one stays
     assert neardup.near_duplicates(none).count() == 0 and neardup.drop_near_duplicates(none).count() == 0
 
 
+def test_repeated_and_nameless_rows(spark):
+    """Of each component one row stays: repeated rows, texts that share an id, and rows without one."""
+    a, b = family(1, 1, 0)[0], family(2, 1, 0)[0]
+    rows = [(5, a), (5, a), (5, b), (3, b), (None, a), (None, "no id"), (None, "no id"), (9, None), (9, None), (10, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["text"], r["component_id"]) for r in neardup.near_duplicates(df.withColumn("n_shingles", F.lit(0))).join(df.select("doc_id", "text").distinct(), "doc_id").collect())
+    assert got[5, a, 5] == 2 and got[5, b, 3] == 1 and got[3, b, 3] == 1
+    left = collections.Counter(map(tuple, neardup.drop_near_duplicates(df).collect()))
+    assert left == collections.Counter([(5, a), (3, b), (None, "no id"), (9, None), (9, None), (10, "")])
+
+
+def test_blocks_of_short_texts_are_bounded(spark):
+    """Thousands of texts that share buckets and are no copies: blocks are bounded by documents too, and none is lost."""
+    rng = random.Random(4)
+    shared = [f"s{k}" for k in range(12)]
+    rows = [(i, " ".join(shared + [f"u{i}a", f"u{i}b"])) for i in range(3000)] + [(5000 + i, " ".join(shared + [f"u{rng.randrange(3000)}a", "zz"])) for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    want = exact_by_class(rows, 4)
+    assert got == want
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (12, 11), (3, 9), (20, 20)] + [(100, 100 + k) for k in range(1, 50)] + [(200 + k, 201 + k) for k in range(40)]
     got = {r["node"]: r["root"] for r in neardup.components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
