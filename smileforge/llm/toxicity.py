@@ -4,6 +4,9 @@ Two zstandard dictionaries are trained: one on ordinary text, one on toxic
 text.  The toxic one is trained on the passages of toxic documents whose
 character 5-grams ordinary text lacks, and is followed by the ordinary content,
 so that the two compressors differ only by what is specific to toxic text.
+(With both dictionaries trained on plain windows of either kind, no toxic
+document reaches the fixed limit: a toxic document is ordinary text but for a
+few words, and what the dictionaries save on the rest hides them.)
 Every window of a text is compressed with both; the bytes that the toxic
 dictionary saves are compared with thresholds, and a logistic curve over the
 counts, calibrated on labelled documents that the dictionaries have not seen,
@@ -31,6 +34,8 @@ from .langid import held_out
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 2000, 4000
 #: Share of them that trains the dictionaries; the others calibrate the thresholds.
 DICTIONARY_SHARE = 0.6
+#: Windows of ordinary text, out of all of theirs, that the ordinary dictionary is trained on.
+SAMPLE_WINDOWS = 30_000
 #: Bytes of a window; it ends before a space where there is one in its second half.
 WINDOW_BYTES = 128
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
@@ -93,6 +98,11 @@ class Model:
     def __getstate__(self):
         return {"ordinary": self.ordinary, "toxic": self.toxic, "weights": self.weights, "_pair": None}
 
+    def forget(self) -> None:
+        """Release the compressors of a Python worker."""
+        self._pair = None
+        gc.collect()
+
     def _compressors(self):
         if self._pair is None:
             size = len(self.ordinary) + len(self.toxic)
@@ -149,7 +159,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     (plain, toxic), rest = [k[:c] for k, c in zip(kinds, cut, strict=True)], [k[c:] or k for k, c in zip(kinds, cut, strict=True)]
     rng = random.Random(7)
     ordinary_windows = [w for t in plain for w in windows(t, 96)]
-    ordinary = trained(rng.sample(ordinary_windows, min(30_000, len(ordinary_windows))), ORDINARY_BYTES)
+    ordinary = trained(rng.sample(ordinary_windows, min(SAMPLE_WINDOWS, len(ordinary_windows))), ORDINARY_BYTES)
     model = Model(ordinary, trained([p.encode() for p in specific(toxic, plain)], TOXIC_BYTES))
     x = np.array([model.features(t) for k in rest for t in k])
     y = np.repeat([0.0, 1.0], [len(k) for k in rest])
@@ -157,8 +167,11 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on labelled documents that are not held out: about SAMPLE_TOXIC and SAMPLE_ORDINARY of them, whole texts."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("label")).dropDuplicates(["label_id"])
+    """Fit on labelled documents that are not held out: about SAMPLE_TOXIC and SAMPLE_ORDINARY of them, whole texts.
+
+    A document that is labelled both ways counts as toxic.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return Model()
@@ -175,14 +188,14 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row of ``docs``; only ``text`` is an input.
 
     Null and empty texts have no window and the score of the curve's origin.
-    Without labelled documents of both kinds every score is 0.  Repeated rows
+    Very long texts are scored whole.  Without labelled documents of both kinds every score is 0.  Repeated rows
     give repeated rows, an empty table an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("toxicity", gc.collect)
         m = shared.value
+        hold("toxicity", m.forget)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([m.score(t.as_py()) for t in batch.column("text")], pa.float64())], ["doc_id", "score"])
 
@@ -195,8 +208,8 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = PREDICT_FROM) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("toxicity", gc.collect)
         m = shared.value
+        hold("toxicity", m.forget)
         for batch in batches:
             text = batch.column(place)
             yield batch.filter(pa.array([m.score(t.as_py()) < limit for t in text], pa.bool_()))
@@ -206,6 +219,7 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = PREDICT_FROM) -> Da
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled ones that are not held out."""
     docs = table(spark, sf_dir, "documents")
     out = scores(docs, train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
