@@ -10,6 +10,7 @@ documents; expected counts come from forward and backward passes.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,27 +21,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import hold, table
+from .common import Workspace, hold, table
 from .tokencount import MARK, unigram_scores
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Labelled documents a language is fitted on, about; chosen by a hash of the id.
-SAMPLE_DOCS = 400
-#: Distinct (language, word) counts of the sample that reach the driver, most frequent first.
-SAMPLE_WORDS = 200_000
-#: More values of ``lang`` than this are refused, not cut.
-MAX_LANGUAGES = 500
+#: Characters of labelled documents that a language is fitted on, about; whole documents, chosen by a hash of the id.
+SAMPLE_CHARS = 500_000
 EM_ROUNDS = 3
 #: Expected count added to every entry.
 SMOOTHING = 0.02
-#: Words are scored in parts of at most so many characters, to stay within double precision.
-PART_CHARS = 48
-#: Factor per character that keeps the forward values near 1.
+#: Words of more letters are scored one by one with a rescaled forward pass; in fitting they are learned in parts.
+LONG_WORD = 48
+#: Factor per character that keeps the forward values of other words near 1.
 SCALE = 16.0
+#: Positions of a long word between two rescalings: the smallest product over them stays within double precision.
+RESCALE = 16
 #: Probability of a character as such, in any language.
 ANY_CHAR = 1e-7
+#: Words whose log probabilities a Python worker keeps; emptied when full.
 CACHE_WORDS = 300_000
-SLICE_WORDS = 300_000
+#: Words of documents that are scored together, and of a longer document that are added up together.
+SLICE_WORDS = 150_000
 UNKNOWN_LANGUAGE = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -50,10 +51,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def letters(word: str) -> str:
+    """The letters of a word, lower-cased."""
+    return "".join(_LETTERS.findall(word)).lower()
+
+
 def parts(word: str) -> list[str]:
-    """The letters of a word, lower-cased and marked, in parts."""
-    letters = "".join(_LETTERS.findall(word)).lower()
-    return [MARK + letters[k : k + PART_CHARS] for k in range(0, len(letters), PART_CHARS)]
+    """The letters of a word, marked; of a long word in parts (for fitting only)."""
+    x = letters(word)
+    return [MARK + x[k : k + LONG_WORD] for k in range(0, len(x), LONG_WORD)]
 
 
 class Lattice:
@@ -120,7 +126,7 @@ def automaton(path: str):
     for i, p in enumerate(entries):
         a.add_word(p, i << 8 | len(p))
     a.make_automaton()
-    return a, len(entries)
+    return a, len(entries), max(map(len, entries), default=1)
 
 
 @lru_cache(maxsize=2)
@@ -139,34 +145,46 @@ class Model:
     def __getstate__(self):
         return {"path": self.path, "languages": self.languages, "p": self.p, "_known": {}, "_table": np.zeros((0, len(self.languages)))}
 
+    def forget(self) -> None:
+        """Release the tables of a Python worker."""
+        _automaton.cache_clear()
+        self._known, self._table = {}, np.zeros((0, len(self.languages)))
+
     def log_words(self, words: list[str]) -> np.ndarray:
-        """log probability of each word in each language; 0 for a word without letters."""
-        cut = [parts(w) for w in words]
-        flat = [x for c in cut for x in c]
-        of = np.repeat(np.arange(len(words)), [len(c) for c in cut])
+        """log probability of each word in each language, over all segmentations; 0 for a word without letters."""
         out = np.zeros((len(words), len(self.languages)))
-        for lo in range(0, len(flat), 8192):
-            some = flat[lo : lo + 8192]
-            lattice = Lattice(_automaton(self.path)[0], some)
+        shown = [letters(w) for w in words]
+        usual = sorted((k for k, x in enumerate(shown) if 0 < len(x) <= LONG_WORD), key=lambda k: len(shown[k]))
+        for lo in range(0, len(usual), 8192):
+            some = usual[lo : lo + 8192]
+            lattice = Lattice(_automaton(self.path)[0], [MARK + shown[k] for k in some])
             alpha = lattice.forward(lattice.weights(self.p))
-            z = np.log(alpha[np.arange(len(some)), lattice.size]) - (lattice.size * np.log(SCALE))[:, None]
-            np.add.at(out, of[lo : lo + 8192], z)
+            out[some] = np.log(alpha[np.arange(len(some)), lattice.size]) - (lattice.size * np.log(SCALE))[:, None]
+        for k, x in enumerate(shown):
+            if len(x) > LONG_WORD:
+                out[k] = self.log_long(MARK + x)
         return out
 
-    def log_text(self, words: list[str]) -> np.ndarray:
-        total = np.zeros(len(self.languages))
-        for lo in range(0, len(words), SLICE_WORDS):
-            part = words[lo : lo + SLICE_WORDS]
-            new = [w for w in set(part) if w not in self._known]
-            if new:
-                self.learn(new, set(part))
-            rows = np.fromiter(map(self._known.__getitem__, part), np.int64, len(part))
-            total += np.bincount(rows, minlength=len(self._table)) @ self._table if len(part) > len(self._table) else self._table[rows].sum(axis=0)
-        return total
-
-    def learn(self, new: list[str], needed: set[str]) -> None:
-        if len(self._known) + len(new) > CACHE_WORDS:
-            self._known, self._table, new = {}, self._table[:0], list(needed)
+    def log_long(self, text: str) -> np.ndarray:
+        """The same forward pass for one word of any length: the values of the last positions are kept and rescaled together."""
+        a, _, longest = _automaton(self.path)
+        log, recent, found = np.zeros(len(self.languages)), [np.ones(len(self.languages))], a.iter(text)
+        end, value = next(found, (-1, 0))
+        for e in range(len(text)):
+            v = recent[-1] * self.p[-1]
+            while end == e:
+                v = v + recent[-(value & 0xFF)] * self.p[value >> 8]
+                end, value = next(found, (-1, 0))
+            recent.append(v)
+            if e % RESCALE == RESCALE - 1:
+                recent = [x / v for x in recent[-longest:]]
+                log += np.log(v)
+        return log + np.log(recent[-1])
+
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self._known]
+        if len(self._known) + len(new) > CACHE_WORDS and self._known:
+            self._known, self._table, new = {}, self._table[:0], list(words)
         n = len(self._known)
         self._known.update(zip(new, range(n, n + len(new)), strict=True))
         if n + len(new) > len(self._table):
@@ -175,17 +193,54 @@ class Model:
             self._table = grown
         self._table[n : n + len(new)] = self.log_words(new)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not text or not _LETTERS.search(text):
-            return UNKNOWN_LANGUAGE, 0.0
-        log = self.log_text(text.split())
+    def _sum(self, words: list[str]) -> np.ndarray:
+        """Sum over the words, in an order that only the text decides."""
+        counts = Counter(words)
+        rows = np.fromiter(map(self._known.__getitem__, counts), np.int64, len(counts))
+        return (self._table[rows] * np.fromiter(counts.values(), float, len(counts))[:, None]).sum(axis=0)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, posterior) of each text; words of many texts are scored together."""
+        out: list = [(UNKNOWN_LANGUAGE, 0.0)] * len(texts)
+        if not self.languages:
+            return out
+        waiting: list[tuple[int, list[str]]] = []
+        n = 0
+
+        def settle() -> None:
+            self._learn({w for _, words in waiting for w in words})
+            for i, words in waiting:
+                out[i] = self._best(self._sum(words))
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            if not text or not _LETTERS.search(text):
+                continue
+            words = text.split()
+            if len(words) > SLICE_WORDS:
+                total = np.zeros(len(self.languages))
+                for lo in range(0, len(words), SLICE_WORDS):
+                    part = words[lo : lo + SLICE_WORDS]
+                    self._learn(set(part))
+                    total += self._sum(part)
+                out[i] = self._best(total)
+                continue
+            waiting.append((i, words))
+            n += len(words)
+            if n >= SLICE_WORDS:
+                settle()
+                n = 0
+        settle()
+        return out
+
+    def _best(self, log: np.ndarray) -> tuple[str, float]:
         best = int(np.argmax(log))
         return self.languages[best], float(1 / np.exp(log - log[best]).sum())
 
 
 def fit(counts: list[tuple[str, str, int]], languages: list[str], path: str, rounds: int = EM_ROUNDS) -> Model:
     """A model from (language, word, count)."""
-    a, n = _automaton(path)
+    a, n, _ = _automaton(path)
     p = np.full((n + 1, len(languages)), 1.0 / (n + 1))
     p[-1] = ANY_CHAR
     index = {lang: i for i, lang in enumerate(languages)}
@@ -193,7 +248,7 @@ def fit(counts: list[tuple[str, str, int]], languages: list[str], path: str, rou
     for lang, word, k in counts:
         for x in parts(word):
             merged.setdefault(x, np.zeros(len(languages)))[index[lang]] += k
-    words = list(merged)
+    words = sorted(merged, key=lambda x: (len(x), x))
     weight = np.array([merged[w] for w in words]).reshape(len(words), len(languages))
     blocks = [(Lattice(a, words[lo : lo + 8192]), weight[lo : lo + 8192]) for lo in range(0, len(words), 8192)]
     for _ in range(rounds):
@@ -211,20 +266,24 @@ def fit(counts: list[tuple[str, str, int]], languages: list[str], path: str, rou
     return Model(path, languages, p)
 
 
-def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on documents that are not held out and whose language is not null, about ``sample_docs`` of each language."""
+def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on documents that are not held out and whose language is not null.
+
+    Of each language whole documents of about ``sample_chars`` characters in
+    all are taken, chosen by a hash of their id; all their words count.
+    """
     path = vocabulary_path(vocabulary)
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
+    # A row a language: so many values as the model has columns.
+    sizes = labelled.groupBy("lang").agg(F.greatest(F.sum(F.length("text")), F.lit(1)).alias("chars")).select(F.col("lang").alias("of_lang"), (F.lit(float(sample_chars)) / F.col("chars")).alias("share"))
+    sizes = Workspace(docs.sparkSession, "langid").write(sizes)
+    languages = sorted(r["of_lang"] for r in sizes.collect())
+    if not languages:
         return Model(path, [], np.zeros((1, 0)))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_docs / r["count"]))])
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    sample = labelled.join(sizes, F.col("lang") == F.col("of_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     words = sample.select("lang", F.explode(F.split("text", r"\s+")).alias("word")).where(F.length("word") > 0)
-    counts = words.groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(SAMPLE_WORDS).collect()
-    return fit([(r["lang"], r["word"], r["count"]) for r in counts], sorted(r["lang"] for r in sizes), path)
+    counts = words.groupBy("lang", "word").count().collect()
+    return fit(sorted((r["lang"], r["word"], r["count"]) for r in counts), languages, path)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -233,17 +292,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     The score is the posterior of the predicted language with equal priors.  A
     null text, or one without a letter, is ``und`` with score 0, as is every
     text if no language was learned.  Ties go to the first language by name.
-    Only ``text`` is an input.  Repeated rows give repeated rows, an empty
+    Only ``text`` is an input; it is taken whole, however long, and a word's
+    segmentations are all summed, however many letters it has.  Repeated rows give repeated rows, an empty
     table an empty result.  The model, whose size the vocabulary and the number
     of languages bound, goes to the executors once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("langid", _automaton.cache_clear)
         m = shared.value
+        hold("langid", m.forget)
         for batch in batches:
-            got = [m.predict(t.as_py()) for t in batch.column("text")]
+            got = m.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -251,6 +311,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, train(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -160,7 +160,7 @@ def test_fences_reject_what_the_bands_let_pass(spark):
 
 def test_word_probability_sums_all_segmentations(spark, sf_dir):
     m = langid.train(table(spark, sf_dir, "documents"))
-    a, n = langid._automaton(m.path)
+    a, *_ = langid._automaton(m.path)
     entries = {k: a.get(k) >> 8 for k in a.keys()}
 
     def total(w, j, i=0):
@@ -178,6 +178,40 @@ def test_word_probability_sums_all_segmentations(spark, sf_dir):
             assert z[j] == pytest.approx(math.log(total(langid.parts(w)[0], j)), rel=1e-9)
 
 
+def test_long_words_are_scored_whole(spark, sf_dir):
+    """A plain forward pass over the logarithms agrees, also beyond the length at which the batch stops."""
+    m = langid.train(table(spark, sf_dir, "documents"))
+    a, _, _ = langid._automaton(m.path)
+    entries = {k: a.get(k) >> 8 for k in a.keys()}
+
+    def slow(word):
+        text = tokencount.MARK + word
+        best = [np.zeros(len(m.languages))]
+        for e in range(1, len(text) + 1):
+            ways = [best[e - 1] + math.log(langid.ANY_CHAR)] + [best[k] + np.log(m.p[entries[text[k:e]]]) for k in range(max(0, e - 20), e) if text[k:e] in entries]
+            best.append(np.logaddexp.reduce(ways))
+        return best[-1]
+
+    rng = random.Random(6)
+    for n in (1, 47, 48, 49, 64, 200, 1500):
+        word = "".join(rng.choice("etaoinshrdlußéñ漢") for _ in range(n))
+        assert m.log_words([word])[0] == pytest.approx(slow(word), rel=1e-9), n
+    text = " ".join("".join(rng.choice("etaoin") for _ in range(rng.randrange(1, 9))) for _ in range(3000))
+    alone = m.predict([text])
+    m.forget()
+    assert alone == m.predict(["other words first", text])[1:]  # whatever the worker knew before
+
+
+def test_many_languages(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join([f"l{''.join(rng.choice('abcdefghij') for _ in range(7))}"] * 40), f"l{i:04}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.train(docs)).collect()
+    seen = {f"l{i:04}" for i in range(700) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(got) == 700 and {r["lang_pred"] for r in got} <= seen
+    assert sum(r["lang_pred"] == f"l{r['doc_id']:04}" for r in got) > 0.9 * len(seen)
+
+
 def test_languages(spark, sf_dir, edge, none):
     docs = table(spark, sf_dir, "documents")
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
@@ -215,6 +249,36 @@ def test_toxicity(spark, tmp_path):
     assert sum(p and not y for p, y in held) / len(held) < 0.02
 
 
+def test_toxicity_scores_equal_slow_version(spark, sf_dir):
+    """Every window compressed anew with both dictionaries, and the curve over the saved bytes."""
+    import zstandard
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    assert model.weights is not None
+
+    def length(content, window):
+        p = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=toxicity.WINDOW_BYTES, dict_size=len(model.ordinary) + len(model.toxic), write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress(window))
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, model).collect()}
+    some = [r for r in docs.collect() if r["text"] and len(r["text"]) < 3000][:40]
+    for r in some:
+        saved = [length(model.ordinary, w) - length(model.toxic + model.ordinary, w) for w in toxicity.windows(r["text"])]
+        n = len(saved)
+        above = [sum(x >= k for x in saved) for k in toxicity.THRESHOLDS]
+        x = [1.0, min(max([0, *saved]), 12) / 4, *(math.log1p(c) for c in above), *(math.sqrt(c / n) for c in above[:2]), math.log1p(n)]
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights)))), rel=1e-9)
+
+
+def test_contradictory_labels(spark):
+    docs = spark.createDataFrame([(k, f"text number {k} " * 9) for k in range(60)], "doc_id long, text string")
+    twice = spark.createDataFrame([(k, y) for k in range(60) for y in ((0, 1) if k % 2 else (0, 0))], "doc_id long, toxic int")
+    once = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    assert (toxicity.train(docs, twice.repartition(3)).weights == toxicity.train(docs, once).weights).all()
+
+
 def test_toxicity_edges(spark, edge, none):
     labels = spark.createDataFrame([(4, 1), (6, 0), (7, 0), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(edge, labels)
