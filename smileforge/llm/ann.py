@@ -115,7 +115,9 @@ def neighbours(rows: DataFrame, id_column: str = "vec_id", vector_column: str =
     component, take no part, nor do rows with a null id.  Vectors are compared
     with those of the same length only.  A row is no neighbour of its own id.
     Equal scores rank by the smaller id; repeated rows are neighbours as often
-    as they come.  An empty table gives an empty result.
+    as they come, and one query; rows that share an id and differ in the vector
+    are a query each, with ranks of their own.  An empty table gives an empty
+    result, and columns of any other name play no part.
     """
     spark = rows.sparkSession
     space = Workspace(spark, "ann")
@@ -127,32 +129,32 @@ def neighbours(rows: DataFrame, id_column: str = "vec_id", vector_column: str =
     placed = good.join(F.broadcast(plan), "dim")
     own = lambda what: F.pmod(F.xxhash64("vec_id", F.lit(what)), F.col({"block": "blocks", "chunk": "chunks"}[what])).cast("int")
     data = placed.withColumn("block", own("block")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    asked = placed.where(F.col("vec_id") % every == 0).withColumn("chunk", own("chunk")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = placed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).withColumn("chunk", own("chunk")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["dim", "block", "chunk"]
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_id long, q_key long, vec_id long, score double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [], [], []
+        out = [], [], [], []
         if left.num_rows and right.num_rows:
             dim = left["dim"][0].as_py()
             vectors, queries = (c.combine_chunks().flatten().to_numpy().reshape(-1, dim) for c in (left["v"], right["q_v"]))
-            ids, own_ids = left["vec_id"].to_numpy(), right["q_id"].to_numpy()
+            ids, own_ids, keys_ = left["vec_id"].to_numpy(), right["q_id"].to_numpy(), right["q_key"].to_numpy()
             forest = Forest(ids, vectors, left["longest"][0].as_py())
             for lo in range(0, len(queries), 1024):
                 part = slice(lo, lo + 1024)
-                for q, (found, scores) in zip(own_ids[part], forest.search(queries[part], own_ids[part], k), strict=True):
-                    out[0].append(np.full(len(found), q))
-                    out[1].append(found)
-                    out[2].append(scores)
+                for q, key, (found, scores) in zip(own_ids[part], keys_[part], forest.search(queries[part], own_ids[part], k), strict=True):
+                    for column, x in zip(out, (np.full(len(found), q), np.full(len(found), key), found, scores), strict=True):
+                        column.append(x)
         columns = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+        return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("query_id", "q_key", "vec_id", "score"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
     data = data.select(*keys, "vec_id", "v", "longest")
-    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in keys), F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"))
+    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in keys), F.col("vec_id").alias("q_id"), F.xxhash64("v").alias("q_key"), F.col("v").alias("q_v"))
     best = data.groupBy(*keys).cogroup(asked.groupBy(*(f"q_{c}" for c in keys))).applyInArrow(run, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "q_key").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector, by inner product."""
     return neighbours(table(spark, sf_dir, "embeddings"))

@@ -304,6 +304,20 @@ def test_forest_edges(spark):
     assert ann.neighbours(df.where("false")).count() == 0
 
 
+def test_repeated_queries(spark):
+    """A repeated query row is one query; rows of one id with other vectors are queries of their own."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 8))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [rows[0]] * 2 + [(20, [float(v) for v in x[7]])]
+    got = collections.defaultdict(list)
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    assert len(got) == 20 and all(len(v) == (40 if q == 20 else 20) for q, v in got.items())
+    assert sorted(k for k, _ in got[0]) == list(range(1, 21)) and len({v for _, v in got[0]}) == 20 and 0 not in {v for _, v in got[0]}
+    assert sorted(k for k, _ in got[20]) == sorted([*range(1, 21)] * 2)
+
+
 def test_many_equal_vectors(spark):
     rows = [(k, [0.6, 0.8, 0.0]) for k in range(300)] + [(1000 + k, [float(k), 1.0, 1.0]) for k in range(50)]
     got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, k=5).where("query_id = 100").orderBy("rank").collect()
