@@ -124,6 +124,32 @@ def test_rules_equal_slow_model(spark, sf_dir, edge, none):
     assert quality.rules(none).count() == 0
 
 
+def test_fertility_equals_slow_model(spark, sf_dir):
+    """Measures recomputed word by word with the two tokenizers."""
+    import base64
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=bpe.vocabulary_path(quality.PIECES))
+    with open(bpe.vocabulary_path(quality.RANKS)) as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, f)}
+    enc = tiktoken.Encoding("r", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").collect()}
+    for r in quality.rules(table(spark, sf_dir, "documents")).collect():
+        words = (texts[r["doc_id"]] or "").split(" ")
+        words = [w for part in words for w in part.replace("\t", "\n").replace("\r", "\n").replace("\x0b", "\n").replace("\x0c", "\n").split("\n") if w]
+        pieces = [i for w in words for i in sp.encode(w)]
+        n_ranks = sum(len(enc.encode_ordinary(" " + w)) for w in words)
+        chars = sum(map(len, words))
+        counts = collections.Counter(pieces)
+        if pieces:
+            assert r["chars_per_piece"] == pytest.approx(chars / len(pieces)) and r["chars_per_rank"] == pytest.approx(chars / n_ranks)
+            assert r["fallback_share"] == pytest.approx(sum(sp.is_byte(i) for i in pieces) / len(pieces))
+            assert r["token_entropy"] == pytest.approx(-sum(c / len(pieces) * math.log2(c / len(pieces)) for c in counts.values()), abs=1e-9)
+
+
 def test_bands_reject_what_is_no_prose(spark):
     rng = random.Random(1)
     prose = " ".join(rng.choice("the quick brown fox jumps over lazy dogs near a river while some other animals look for water under trees".split()) for _ in range(120))
@@ -316,6 +342,17 @@ def test_urls(spark, sf_dir):
         assert r["verdict"] == (want[1] if want else "block" if r["score"] >= 0.5 else "allow")
 
 
+def test_url_scores_equal_slow_model(spark, sf_dir):
+    """Character n-grams and logistic curve recomputed from the weights."""
+    m = urlfilter.fit()
+    for r in urlfilter.op4_url_filter(spark, sf_dir).collect():
+        buckets = set()
+        for salt, text in ((ord("h") * 257, f"^{r['host']}$".encode()), (ord("p") * 257, f"{r['path']}$".encode())):
+            buckets |= {zlib.crc32(text[k : k + n], salt + n) % urlfilter.BUCKETS for n in urlfilter.SIZES for k in range(len(text) - n + 1)}
+        z = m.bias + (sum(m.weights[b] for b in buckets) / math.sqrt(len(buckets)) if buckets else 0)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
+
+
 def test_url_cases(spark):
     cases = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.Com/en/7x?y#z", "https://a.b.Org/es/1", "https://xorg/es/1", "http://net/de/1", "http://example.net/de/8", "http://h?q://x/en/", "http://" + "a" * 50_000 + "/p", "http://ünï.com/en/"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)] + [(None, "http://com/en/", "h")], "page_id long, url string, host string")
