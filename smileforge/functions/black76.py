@@ -37,9 +37,22 @@ def _horner(x, coefficients):
 
 def norm_cdf(x: Column) -> Column:
     """Normal distribution function; the ratio has the right limit in the tails, so one form serves everywhere."""
+    return _at(x, _cdf_of)
+
+
+def _at(x: Column, f) -> Column:
+    """``f`` of a value that is computed once, as the variable of a one-element fold, however often ``f`` uses it.
+
+    Written out, the value would be repeated in every term of a polynomial, and
+    the generated method would be too large to be compiled.
+    """
+    return F.aggregate(F.array(x), F.lit(None).cast("double"), lambda _, v: f(v))
+
+
+def _cdf_of(x: Column) -> Column:
     a = F.abs(x)
     upper = F.exp(-x * x / 2) * _horner(a, _TOP) / _horner(a, _BOTTOM)
-    return F.when(x > 0, 1 - upper).otherwise(upper)
+    return F.lit(0.5) + F.signum(x) * (F.lit(0.5) - upper)
 
 
 def norm_pdf(x: Column) -> Column:
@@ -58,7 +71,9 @@ def _discounted(f: Column, k: Column, t: Column, r: Column, sigma: Column, sign:
     """Price of a call (sign 1) or a put (-1)."""
     d1 = _d1(f, k, t, sigma)
     d2 = d1 - sigma * F.sqrt(t)
-    return F.exp(-r * t) * sign * (f * norm_cdf(sign * d1) - k * norm_cdf(sign * d2))
+    term = lambda x, w: F.struct((sign * x).alias("x"), w.cast("double").alias("w"))
+    value = F.aggregate(F.array(term(d1, f), term(d2, -k)), F.lit(0.0), lambda total, v: total + v["w"] * _cdf_of(v["x"]))
+    return F.exp(-r * t) * sign * value
 
 
 def black76_call_price(f: Column, k: Column, t: Column, r: Column, sigma: Column) -> Column:
@@ -122,7 +137,8 @@ def newton(price, f, k, t, r, side, rounds=NEWTON_ROUNDS, tolerance=NEWTON_TOLER
     approximation within [0.05, 2]; steps stay within [0.01, 5].  A row whose
     price is met to the tolerance keeps the volatility tested.  What has not
     converged is accepted if the price is met to 1 % and the volatility has
-    moved by more than 0.02.
+    moved by more than 0.02.  Also told are the rounds with hardly any vega, and
+    whether a step went below or above the bounds.
     """
     price, f, k, t, r = (np.asarray(x, float) for x in (price, f, k, t, r))
     side = np.asarray(side, object)
@@ -133,6 +149,7 @@ def newton(price, f, k, t, r, side, rounds=NEWTON_ROUNDS, tolerance=NEWTON_TOLER
         valid = (price > 0) & (f > 0) & (k > 0) & (t > 0) & np.isfinite(price + f + k + t + r) & (price >= INTRINSIC_SLACK * np.exp(-r * t) * intrinsic)
         seed = np.clip(np.sqrt(2 * np.pi / np.where(t > 0, t, 1)) * price / np.where(f > 0, f, 1), *SEED_BOUNDS)
     sigma, steps = seed.copy(), np.zeros(n, np.int32)
+    flat, low, high = np.zeros(n, np.int32), np.zeros(n, bool), np.zeros(n, bool)
     status = np.full(n, 2, np.int8)
     active = np.flatnonzero(valid)
     for step in range(1, rounds + 1):
@@ -144,8 +161,12 @@ def newton(price, f, k, t, r, side, rounds=NEWTON_ROUNDS, tolerance=NEWTON_TOLER
         steps[active] = step
         met = np.abs(diff) < tolerance
         status[active[met]] = 0
+        flat[active] += vega <= 1e-10
         move = ~met & (vega > 1e-10)
-        s[move] = np.clip(s[move] - diff[move] / vega[move], *NEWTON_BOUNDS)
+        new = s[move] - diff[move] / vega[move]
+        low[active[move]] |= new < NEWTON_BOUNDS[0]
+        high[active[move]] |= new > NEWTON_BOUNDS[1]
+        s[move] = np.clip(new, *NEWTON_BOUNDS)
         sigma[active] = s
         active = active[~met]
     error = np.full(n, np.nan)
@@ -155,7 +176,7 @@ def newton(price, f, k, t, r, side, rounds=NEWTON_ROUNDS, tolerance=NEWTON_TOLER
     near = (error[active] < 0.01) & (np.abs(sigma[active] - seed[active]) > 0.02)
     status[active] = np.where(near, 1, 3)
     vol = np.where(status <= 1, sigma, np.nan)
-    return pd.DataFrame({"implied_vol": vol, "status": np.array(STATUSES, object)[status], "iterations": steps, "price_error": error})
+    return pd.DataFrame({"implied_vol": vol, "status": np.array(STATUSES, object)[status], "iterations": steps, "price_error": error, "low_vega_rounds": flat, "hit_lower": low, "hit_upper": high, "final_vol": np.where(valid, sigma, np.nan)})
 
 
 def bracketed(price, f, k, t, r, side, rounds=100) -> np.ndarray:
@@ -194,7 +215,7 @@ def bracketed(price, f, k, t, r, side, rounds=100) -> np.ndarray:
     return out
 
 
-_NEWTON_SCHEMA = T.StructType([T.StructField("implied_vol", T.DoubleType()), T.StructField("status", T.StringType()), T.StructField("iterations", T.IntegerType()), T.StructField("price_error", T.DoubleType())])
+_NEWTON_SCHEMA = T.StructType([T.StructField("implied_vol", T.DoubleType()), T.StructField("status", T.StringType()), T.StructField("iterations", T.IntegerType()), T.StructField("price_error", T.DoubleType()), T.StructField("low_vega_rounds", T.IntegerType()), T.StructField("hit_lower", T.BooleanType()), T.StructField("hit_upper", T.BooleanType()), T.StructField("final_vol", T.DoubleType())])
 
 
 @F.pandas_udf(_NEWTON_SCHEMA)
@@ -210,7 +231,7 @@ def _bracketed_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.S
 
 
 def implied_volatility_solution(price: Column, f: Column, k: Column, t: Column, r: Column, option_type: Column) -> Column:
-    """struct(implied_vol, status, iterations, price_error) by Newton steps."""
+    """struct(implied_vol, status, iterations, price_error, low_vega_rounds, hit_lower, hit_upper, final_vol) by Newton steps."""
     return _newton_udf(price.cast("double"), f.cast("double"), k.cast("double"), t.cast("double"), r.cast("double"), option_type)
 
 

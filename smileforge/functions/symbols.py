@@ -16,15 +16,13 @@ EXPIRY_HOUR = 8
 SHORT_PATTERN = r"([A-Z]+)-(\d+[A-Z]+\d+)-(\d+)-([CP])"
 
 
-def _pieces(name: Column) -> Column:
-    return F.split(F.split_part(name, F.lit("."), F.lit(1)), "-")
-
-
-def _guard(value: Column, parts: Column, n: int, name: Column, strict: bool) -> Column:
+def _parsed(name: Column, n: int, value, strict: bool) -> Column:
+    """``value`` of the parts of a name, which are split once; null, or an error, if they are not ``n``."""
     bad = F.lit(None)
     if strict:
         bad = F.when(name.isNotNull(), F.raise_error(F.concat(F.lit("not a symbol: "), name)))
-    return F.when(F.size(parts) == n, value).otherwise(bad)
+    parts = F.split(F.split_part(name, F.lit("."), F.lit(1)), "-")
+    return F.transform(F.array(parts), lambda p: F.when(F.size(p) == n, value(lambda k: F.try_element_at(p, F.lit(k)))).otherwise(bad))[0]
 
 
 def _century(two_digits: Column) -> Column:
@@ -33,28 +31,28 @@ def _century(two_digits: Column) -> Column:
 
 
 def _day(text: Column, hours: int = EXPIRY_HOUR) -> Column:
-    """``yymmdd`` at the expiry hour."""
-    return F.try_to_timestamp(F.concat(_century(F.substring(text, 1, 2)), text), F.lit("yyyyMMdd")) + F.make_dt_interval(hours=F.lit(hours))
+    """``yymmdd`` at the expiry hour; by integer arithmetic, as a formatter costs more than all else here."""
+    n = text.try_cast("int")
+    year = F.floor(n / 10_000)
+    year = year + F.when(year >= 69, 1900).otherwise(2000)
+    at = F.try_make_timestamp(year, F.floor(n / 100) % 100, n % 100, F.lit(hours), F.lit(0), F.lit(0))
+    return F.when(F.lpad(n.cast("string"), 6, "0") == text, at)
 
 
 def parse_option_name(name: Column, strict: bool = False) -> Column:
     """struct(family, expiry, strike, option_type)."""
-    p = _pieces(name)
-    at = lambda k: F.try_element_at(p, F.lit(k))
-    value = F.struct(
+    value = lambda at: F.struct(
         F.concat_ws("-", at(1), at(2)).alias("family"),
         _day(at(3)).alias("expiry"),
         at(4).try_cast("bigint").alias("strike"),
         F.upper(at(5)).alias("option_type"),
     )
-    return _guard(value, p, 5, name, strict)
+    return _parsed(name, 5, value, strict)
 
 
 def parse_future_name(name: Column, strict: bool = False) -> Column:
     """struct(family, expiry)."""
-    p = _pieces(name)
-    at = lambda k: F.try_element_at(p, F.lit(k))
-    return _guard(F.struct(F.concat_ws("-", at(1), at(2)).alias("family"), _day(at(3)).alias("expiry")), p, 3, name, strict)
+    return _parsed(name, 3, lambda at: F.struct(F.concat_ws("-", at(1), at(2)).alias("family"), _day(at(3)).alias("expiry")), strict)
 
 
 def parse_option_instrument(name: Column) -> Column:
@@ -74,3 +72,10 @@ def regex_symbol(name: Column, pattern: str = SHORT_PATTERN) -> Column:
     """struct(coin, expiry, strike, option_type) by pattern; null fields where it does not match."""
     group = lambda k: F.nullif(F.regexp_extract(name, pattern, k), F.lit(""))
     return F.struct(group(1).alias("coin"), group(2).alias("expiry"), group(3).try_cast("bigint").alias("strike"), group(4).alias("option_type"))
+
+
+def strike_and_side(name: Column, expiry: str, coin: str = "BTC") -> Column:
+    """struct(strike, option_type) of the short symbols of one expiry; null for all others."""
+    pattern = rf"^{coin}-{expiry}-(\d+)-([CP])"
+    group = lambda k: F.regexp_extract(name, pattern, k)
+    return F.when(name.rlike(pattern), F.struct(group(1).try_cast("bigint").alias("strike"), group(2).alias("option_type")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.black76 import NEWTON_ROUNDS
 from ..functions.scalars import linspace
 
 
@@ -15,12 +16,16 @@ def volume_by(df: DataFrame, key: str, amount: str, price: str, top: int | None
     return out.orderBy(F.desc("volume"), key).limit(top) if top is not None else out
 
 
-def stats_by(df: DataFrame, key: str, columns: list[str], digits: int = 2) -> DataFrame:
-    """Rows, mean and sample deviation of columns by key; half-even rounding."""
+def stats_by(df: DataFrame, key: str, columns: list[str], digits: int = 2, sort_by: str | None = None) -> DataFrame:
+    """Rows, mean and sample deviation of columns by key; half-even rounding.
+
+    ``sort_by`` names a result column, such as ``price_mean``: highest first.
+    """
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in columns:
         aggs += [F.bround(F.avg(c), digits).alias(f"{c}_mean"), F.bround(F.stddev_samp(c), digits).alias(f"{c}_std")]
-    return df.groupBy(key).agg(*aggs)
+    out = df.groupBy(key).agg(*aggs)
+    return out.orderBy(F.desc(sort_by), key) if sort_by else out
 
 
 def full_outer(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -73,8 +78,30 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(n): rows of the largest group."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+
+
+def dropped_duplicates(df: DataFrame, key: str) -> DataFrame:
+    """(rows, kept, dropped) of ``keep_first`` on a key; a null key is a value like any other."""
+    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("kept"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dropped"))
+
+
+def size_summary(df: DataFrame) -> DataFrame:
+    """(rows, columns, bytes): bytes of the values, by the width of their types and the length of strings and binaries."""
+    widths = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
+    total = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        width = F.octet_length(c) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(widths.get(type(f.dataType), 8))
+        total = total + F.when(c.isNull(), F.lit(0)).otherwise(width).cast("long")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"), F.coalesce(F.sum(total), F.lit(0)).alias("bytes"))
+
+
 def keep_first(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """One row per key, the first by ``order``; an aggregation with map-side combine."""
+    """One row per key, the first by ``order``; an aggregation that sends one row a key and task through the shuffle."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     return df.groupBy(F.col(key).alias("__k")).agg(F.min_by(row, F.struct(*order)).alias("r")).select("r.*")
 
@@ -194,11 +221,24 @@ def every_nth(df: DataFrame, order: str, n: int = 10, first: int = 100) -> DataF
     return numbered.where((F.col("__i") - 1) % n == 0).drop("__i")
 
 
-def solver_report(solved: DataFrame) -> DataFrame:
-    """Rows, share and iterations by outcome; ``solved`` has status, iterations, price_error."""
+def solver_report(solved: DataFrame, rounds: int = NEWTON_ROUNDS) -> DataFrame:
+    """Rows, share, iterations and errors by outcome, and what the rows met on the way.
+
+    ``solved`` has the fields of ``implied_volatility_solution``.  A row counts
+    in ``n_low_vega`` if vega was negligible in more than half of the rounds, in
+    ``n_hit_lower`` and ``n_hit_upper`` if a step went beyond that bound, and in
+    ``n_all_rounds`` if it took every round.
+    """
     total = solved.agg(F.count(F.lit(1)).alias("__n"))
+    error = F.nanvl("price_error", F.lit(None).cast("double"))
     by = solved.groupBy("status").agg(
         F.count(F.lit(1)).alias("n"), F.avg("iterations").alias("mean_iterations"), F.percentile("iterations", 0.5).alias("median_iterations"), F.max("iterations").alias("max_iterations"),
-        F.avg(F.nanvl("price_error", F.lit(None).cast("double"))).alias("mean_error"), quantiles("price_error", [0.5, 0.9]).alias("error_p50_p90"),
+        F.count_if(F.col("low_vega_rounds") > rounds / 2).alias("n_low_vega"), F.count_if("hit_lower").alias("n_hit_lower"), F.count_if("hit_upper").alias("n_hit_upper"), F.count_if(F.col("iterations") >= rounds).alias("n_all_rounds"),
+        F.avg(error).alias("mean_error"), quantiles("price_error", [0.5, 0.9]).alias("error_p50_p90"),
     )
     return by.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") * 100 / F.col("__n")).drop("__n")
+
+
+def failed_samples(solved: DataFrame, order: list[str], n: int = 3) -> DataFrame:
+    """The first ``n`` rows, by ``order``, that the solver failed on."""
+    return solved.where("status = 'failed'").orderBy(*order).limit(n)

@@ -52,15 +52,15 @@ def trim_orderbook(df: DataFrame, n_levels: int = 5) -> DataFrame:
 def bin_orderbook(df: DataFrame, freq: str, time: str = "timeMs", symbol: str = "symbol", order: str | None = None) -> DataFrame:
     """The last row of every (bin, symbol), with ``time_bin`` and its start in ms as ``timestamp``.
 
-    Of rows with the same time the first by ``order`` (by default by all other
-    columns) wins.  One aggregation with map-side combine; no sort of groups.
+    Of rows with the same time the first by ``order`` wins, by default the first
+    as read.  One aggregation: a task sorts its rows by key and sends one row of
+    each bin and symbol through the shuffle.
     """
-    rest = [c for c in df.columns if c not in (time, symbol)]
-    step = freq_ms(freq)
-    start = floor_ms(F.col(time), step)
-    tie = F.col(order) if order else F.xxhash64(*rest) if rest else F.lit(0)
-    row = F.struct(*df.columns)
-    last = df.groupBy(start.alias("timestamp"), F.col(symbol).alias("__symbol")).agg(F.max_by(row, F.struct(F.col(time), -tie)).alias("r"))
+    start = floor_ms(F.col(time), freq_ms(freq))
+    row = F.struct(*df.columns).alias("r")
+    tie = F.col(order) if order else F.monotonically_increasing_id()
+    rows = df.select(start.alias("timestamp"), F.col(symbol).alias("__symbol"), row, F.struct((-F.col(time)).alias("t"), tie.alias("tie")).alias("__o"))
+    last = rows.groupBy("timestamp", "__symbol").agg(F.min_by("r", "__o").alias("r"))
     return last.select("r.*", F.timestamp_millis("timestamp").alias("time_bin"), "timestamp")
 
 

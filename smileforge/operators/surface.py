@@ -72,14 +72,17 @@ def _iv_from_marks(marks: DataFrame, futures: DataFrame, at: Column, on: list[st
 _ASOF_COLUMNS = ("expiry", "strike", "option_type", "mark_price", "forward_price", "log_moneyness", "tenor_years", "implied_vol", "mark_age_seconds", "future_age_seconds")
 
 
-def compute_iv_at_timestamp(options: DataFrame, futures: DataFrame, at_ms: int, lookback_seconds: int = 21600, risk_free_rate: float = 0.0, coin_price: bool = True) -> DataFrame:
-    """IV of every option at a time, from its latest mark and the latest price of its future."""
+def compute_iv_at_timestamp(options: DataFrame, futures: DataFrame, at_ms: int, lookback_seconds: int = 21600, risk_free_rate: float = 0.0, coin_price: bool = False) -> DataFrame:
+    """IV of every option at a time, from its latest mark and the latest price of its future.
+
+    Marks are prices as the formula takes them; ``coin_price`` converts shares of the forward.
+    """
     o = latest_at(options, at_ms, ["instrument_name"], "timestamp", ["mark_price"], lookback_seconds * 1000).where(F.col("mark_price").isNotNull()).withColumnRenamed("age_seconds", "mark_age_seconds")
     f = latest_at(futures, at_ms, ["instrument_name"], "timestamp", ["price"], lookback_seconds * 1000)
     return _iv_from_marks(o, f, F.lit(at_ms), [], "mark_price", risk_free_rate, coin_price).select(*_ASOF_COLUMNS)
 
 
-def prepare_iv_timeseries(options: DataFrame, futures: DataFrame, time_step_minutes: int = 5, lookback_seconds: int = 21600, risk_free_rate: float = 0.0, coin_price: bool = True) -> DataFrame:
+def prepare_iv_timeseries(options: DataFrame, futures: DataFrame, time_step_minutes: int = 5, lookback_seconds: int = 21600, risk_free_rate: float = 0.0, coin_price: bool = False) -> DataFrame:
     """As ``compute_iv_at_timestamp`` for a grid of times, with the time as ``ts``; one as-of plan instead of a loop."""
     step, limit = time_step_minutes * 60_000, lookback_seconds * 1000
     o = asof_grid(options, ["instrument_name"], "timestamp", ["mark_price"], step, limit).where(F.col("mark_price").isNotNull()).withColumnRenamed("age_seconds", "mark_age_seconds").drop("timestamp_right")
@@ -93,7 +96,7 @@ def prepare_iv_timeseries(options: DataFrame, futures: DataFrame, time_step_minu
     return out.select(F.col("timestamp").alias("ts"), *_ASOF_COLUMNS)
 
 
-def trade_iv(trades: DataFrame, futures: DataFrame, center_ms: int, window_minutes: int = 10, lookback_seconds: int = 21600, risk_free_rate: float = 0.0, coin_price: bool = True) -> DataFrame:
+def trade_iv(trades: DataFrame, futures: DataFrame, center_ms: int, window_minutes: int = 10, lookback_seconds: int = 21600, risk_free_rate: float = 0.0, coin_price: bool = False) -> DataFrame:
     """IV of the trades around a time at their own prices, against futures as of that time."""
     half = window_minutes * 60_000
     near = trades.where(F.col("timestamp").between(center_ms - half, center_ms + half)).select("instrument_name", "timestamp", "price", "amount", "direction")

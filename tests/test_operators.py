@@ -146,12 +146,12 @@ def test_trade_surface(spark):
     o = spark.createDataFrame([("BTC-31OCT25-120000-C", 2000, 0.05, 0.05, 1.0, "buy"), ("BTC-PERPETUAL", 2000, 0.05, 0.05, 1.0, "buy"), ("BTC-1NOV25-120000-C", 2000, 0.05, 0.05, 1.0, "sell")], "instrument_name string, timestamp long, mark_price double, price double, amount double, direction string")
     at = 1759276800000
     shift = lambda df: df.withColumn("timestamp", F.col("timestamp") + at)
-    iv = surface.compute_iv_at_timestamp(shift(o), shift(f), at + 3000).collect()
+    iv = surface.compute_iv_at_timestamp(shift(o), shift(f), at + 3000, coin_price=True).collect()
     assert len(iv) == 1 and iv[0]["mark_age_seconds"] == 1.0 and iv[0]["future_age_seconds"] == 2.0 and 0.01 < iv[0]["implied_vol"] < 5
-    series = surface.prepare_iv_timeseries(shift(o), shift(f), 5).collect()
+    series = surface.prepare_iv_timeseries(shift(o), shift(f), 5, coin_price=True).collect()
     assert [r["ts"] for r in series] == [at + 2000]
-    trades = surface.trade_iv(shift(o), shift(f), at + 3000)
-    view = plots.create_iv_surface_viewer(surface.prepare_iv_timeseries(shift(o), shift(f), 5), trades)
+    trades = surface.trade_iv(shift(o), shift(f), at + 3000, coin_price=True)
+    view = plots.create_iv_surface_viewer(surface.prepare_iv_timeseries(shift(o), shift(f), 5, coin_price=True), trades)
     assert view["trades"]["points"].first()["colour"] == "green" and view["calls"]["surface"]["points"].count() == 1
 
 
