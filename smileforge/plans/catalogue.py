@@ -163,6 +163,41 @@ def dedup_trades(spark, sf_dir):
     return a.keep_first(a.union_all(e, e.where("event_id % 3 = 0")), "event_id", [F.col("value"), F.col("user_id")])
 
 
+@_query("""
+WITH u AS (SELECT event_id FROM events UNION ALL SELECT event_id FROM events WHERE event_id % 3 = 0)
+SELECT count(*) AS rows, count(DISTINCT event_id) AS kept, count(*) - count(DISTINCT event_id) AS dropped FROM u""")
+def dedup_counts(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id")
+    return a.dropped_duplicates(a.union_all(e, e.where("event_id % 3 = 0")), "event_id")
+
+
+@_query(f"WITH {_E} SELECT max(n) AS n FROM (SELECT count(*) AS n FROM e GROUP BY user_id, ms - ms % 3600000)")
+def largest_bin(spark, sf_dir):
+    return a.largest_group(_events(spark, sf_dir).select("user_id", s.floor_ms(F.col("ms"), 3_600_000).alias("timestamp")), ["user_id", "timestamp"])
+
+
+@_query("""
+SELECT user_id, count(*) AS n, round_even(avg(value), 2) AS value_mean, round_even(stddev_samp(value), 2) AS value_std
+FROM events GROUP BY user_id ORDER BY value_mean DESC, user_id LIMIT 5""")
+def market_stats_top5(spark, sf_dir):
+    """The five symbols of highest mean (a report): order by an aggregate."""
+    return a.stats_by(_t(spark, sf_dir, "events"), "user_id", ["value"], sort_by="value_mean").limit(5)
+
+
+@_query("""
+SELECT count(*) AS rows, 6::BIGINT AS columns, sum(8 * ((event_id IS NOT NULL)::INT + (ts IS NOT NULL)::INT + (user_id IS NOT NULL)::INT + (value IS NOT NULL)::INT)
+  + coalesce(strlen(event_type), 0) + coalesce(strlen(props), 0))::BIGINT AS bytes FROM events""")
+def size_summary(spark, sf_dir):
+    return a.size_summary(_t(spark, sf_dir, "events"))
+
+
+@_query("SELECT o_orderkey * 1000 AS timestamp, date_trunc('day', o_orderdate) + INTERVAL 8 HOUR AS expiry, o_totalprice AS forward_price FROM orders")
+def forward_curve(spark, sf_dir):
+    """Forward prices from futures mids by symbol."""
+    futures = _t(spark, sf_dir, "orders").select((F.col("o_orderkey") * 1000).alias("timestamp"), F.concat(F.lit("BTC-USD-"), F.date_format("o_orderdate", "yyMMdd")).alias("symbol"), F.col("o_totalprice").alias("mid_price"))
+    return orderbook.forward_curve(futures).withColumn("expiry", F.col("expiry").cast("timestamp_ntz"))
+
+
 @_query("""
 SELECT event_id AS id, value AS price, NULL::VARCHAR AS flag FROM events UNION ALL SELECT l_orderkey AS id, l_extendedprice AS price, l_returnflag AS flag FROM lineitem""")
 def union_pages(spark, sf_dir):
@@ -325,18 +360,10 @@ def trade_window(spark, sf_dir):
     return asof.trades_window(e, _CENTER, 600, "ms").select("event_id", "user_id", "time_offset")
 
 
-@_query(f"""
-WITH {_E}, c AS (SELECT ms AS center FROM e WHERE event_id % 500 = 0)
-SELECT event_id, center, (ms - center) / 1000.0::DOUBLE AS time_offset FROM e JOIN c ON ms BETWEEN center - 600000 AND center + 600000""")
-def trade_windows_many(spark, sf_dir):
-    e = _events(spark, sf_dir)
-    return asof.windows_around(e, e.where("event_id % 500 = 0").select(F.col("ms").alias("center")), 600_000, "ms").select("event_id", "center", "time_offset")
-
-
 @_query(f"""
 WITH {_E} SELECT e.event_id, c.ms AS center, (e.ms - c.ms) / 1000.0::DOUBLE AS time_offset FROM e JOIN e c ON e.ms BETWEEN c.ms - 600000 AND c.ms + 600000""")
-def trade_windows_every(spark, sf_dir):
-    """As above around every event."""
+def trade_windows_many(spark, sf_dir):
+    """Trades around every event."""
     e = _events(spark, sf_dir)
     return asof.windows_around(e, e.select(F.col("ms").alias("center")), 600_000, "ms").select("event_id", "center", "time_offset")
 
@@ -423,75 +450,120 @@ def moneyness(spark, sf_dir):
     return _terms(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(b76.moneyness(c("k"), c("f")), 9).alias("moneyness"), F.round(b76.log_moneyness(c("k"), c("f")), 9).alias("log_moneyness"))
 
 
-_KNOWN_VOL = "SELECT l_orderkey, l_linenumber, round(0.2::DOUBLE + l_tax * 5, 4) AS implied_vol FROM lineitem"
+def _solver_input(spark, sf_dir) -> DataFrame:
+    """Prices of known volatilities; by line number also some that are rejected (1), that fail (2) or are accepted near convergence (3).
+
+    A volatility of 8 is beyond the bound of the Newton search, which stops at 5: with two years
+    to expiry the price at 5 is within one percent, with half a year it is not.
+    """
+    c = F.col
+    kind = c("l_linenumber")
+    terms = _terms(spark, sf_dir).withColumns({"t": F.when(kind == 2, 0.5).when(kind == 3, 2.0).otherwise(c("t")), "sigma": F.when(kind.isin(2, 3), 8.0).otherwise(c("sigma"))})
+    return terms.withColumn("price", F.when(kind == 1, -1.0).otherwise(b76.black76_price(c("f"), c("k"), c("t"), F.lit(0.01), c("sigma"), c("side"))))
 
 
 def _solved(spark, sf_dir, solver) -> DataFrame:
     c = F.col
-    price = b76.black76_price(c("f"), c("k"), c("t"), F.lit(0.01), c("sigma"), c("side"))
-    return _terms(spark, sf_dir).withColumn("price", price).select("l_orderkey", "l_linenumber", F.round(solver(c("price"), c("f"), c("k"), c("t"), F.lit(0.01), c("side")), 4).alias("implied_vol"))
+    return _solver_input(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(solver(c("price"), c("f"), c("k"), c("t"), F.lit(0.01), c("side")), 4).alias("implied_vol"))
+
+
+def _solutions(spark, sf_dir) -> DataFrame:
+    c = F.col
+    x = b76.implied_volatility_solution(c("price"), c("f"), c("k"), c("t"), F.lit(0.01), c("side"))
+    return _solver_input(spark, sf_dir).select("l_orderkey", "l_linenumber", x.alias("x")).select("l_orderkey", "l_linenumber", "x.*")
 
 
-@_query(_KNOWN_VOL)
+@_query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber IN (1, 2) THEN NULL WHEN l_linenumber = 3 THEN 5.0 ELSE round(0.2::DOUBLE + l_tax * 5, 4) END AS implied_vol FROM lineitem")
 def implied_vol_newton(spark, sf_dir):
-    """Prices made from known volatilities, inverted; SQL gives the volatilities."""
+    """Prices made from known volatilities, inverted; SQL gives the volatilities, or what the rules make of the row."""
     return _solved(spark, sf_dir, b76.black76_implied_volatility_vectorized)
 
 
-@_query(_KNOWN_VOL)
+@_query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber IN (2, 3) THEN 8.0 ELSE round(0.2::DOUBLE + l_tax * 5, 4) END AS implied_vol FROM lineitem")
 def implied_vol_bracketed(spark, sf_dir):
-    """As above with the bracketed search."""
+    """As above with the bracketed search, which reaches 10."""
     return _solved(spark, sf_dir, b76.black76_implied_volatility)
 
 
-@_query("SELECT 'converged' AS status, count(*) AS n, 100.0::DOUBLE AS share FROM lineitem HAVING count(*) > 0")
+@_query("""
+SELECT status, count(*) AS n, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM lineitem) AS share, count(*) FILTER (status IN ('failed', 'accepted')) AS n_all_rounds
+FROM (SELECT CASE l_linenumber WHEN 1 THEN 'rejected' WHEN 2 THEN 'failed' WHEN 3 THEN 'accepted' ELSE 'converged' END AS status FROM lineitem) GROUP BY 1""")
 def solver_report(spark, sf_dir):
-    c = F.col
-    t = _terms(spark, sf_dir).withColumn("price", b76.black76_price(c("f"), c("k"), c("t"), F.lit(0.0), c("sigma"), c("side")))
-    solved = t.select(b76.implied_volatility_solution(c("price"), c("f"), c("k"), c("t"), F.lit(0.0), c("side")).alias("x")).select("x.*")
-    return a.solver_report(solved).select("status", "n", "share")
+    return a.solver_report(_solutions(spark, sf_dir)).select("status", "n", "share", "n_all_rounds")
+
 
+@_query("SELECT l_orderkey, l_linenumber, 5.0::DOUBLE AS final_vol, true AS hit_upper, false AS hit_lower FROM lineitem WHERE l_linenumber = 2 ORDER BY l_orderkey, l_linenumber LIMIT 3")
+def failed_samples(spark, sf_dir):
+    """The first three rows that the solver failed on (a report)."""
+    return a.failed_samples(_solutions(spark, sf_dir), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.round("final_vol", 9).alias("final_vol"), "hit_upper", "hit_lower")
 
-_EASY = "l_shipdate BETWEEN TIMESTAMP_NTZ '1995-04-01' AND TIMESTAMP_NTZ '1995-12-31'"
 
+@_query(f"""WITH {_TERMS} SELECT l_orderkey, l_linenumber, round(exp(-0.01::DOUBLE * t) * (f * {_sql_cdf('a')} - k * {_sql_cdf('b')}), 5) AS call,
+  round(exp(-0.01::DOUBLE * t) * (k * {_sql_cdf('nb')} - f * {_sql_cdf('na')}), 5) AS put FROM d2""")
+def black76_call_put(spark, sf_dir):
+    terms = [F.col(x) for x in ("f", "k", "t")] + [F.lit(0.01), F.col("sigma")]
+    return _terms(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(b76.black76_call_price(*terms), 5).alias("call"), F.round(b76.black76_put_price(*terms), 5).alias("put"))
 
-def _quotes(spark, sf_dir, dates: str = _EASY, strikes: tuple[float, ...] = (0.9, 0.95, 1.0, 1.05, 1.1)) -> tuple[DataFrame, DataFrame]:
-    """Option mids in coin with known volatility, and forwards, at the first day of 1995."""
+
+def _quotes(spark, sf_dir, strikes) -> tuple[DataFrame, DataFrame]:
+    """Option mids in coin with known volatility for every expiry in lineitem, and forwards, at the first day of 1995.
+
+    ``strikes`` gives (share of the forward, volatility) from a number x, of which each expiry has several.
+    """
     c = F.col
     t0 = 788918400000
-    base = _t(spark, sf_dir, "lineitem").where(dates).groupBy("l_shipdate").agg(F.round(F.avg("l_extendedprice"), 0).alias("forward_price"))
+    base = _t(spark, sf_dir, "lineitem").where("l_shipdate > TIMESTAMP_NTZ '1995-01-01'").groupBy("l_shipdate").agg(F.round(F.avg("l_extendedprice"), 0).alias("forward_price"))
     base = base.withColumn("expiry", c("l_shipdate").cast("timestamp") + F.expr("INTERVAL 8 HOURS"))
     forwards = base.select(F.lit(t0).alias("timestamp"), "expiry", "forward_price")
-    grid = base.withColumn("m", F.explode(F.array(*[F.lit(x) for x in strikes]))).withColumn("strike", F.round(c("forward_price") * c("m"), 0))
-    grid = grid.withColumns({"years": s.tenor_days(c("expiry"), F.lit(t0)) / 365.25, "vol": F.lit(0.5) + F.pow(c("m") - 1, F.lit(2.0))})
+    xs, share, vol = strikes
+    grid = base.withColumn("years", s.tenor_days(c("expiry"), F.lit(t0)) / 365.25).withColumn("x", F.explode(F.array(*[F.lit(x) for x in xs])))
+    grid = grid.withColumns({"strike": F.round(c("forward_price") * share(c("x"), c("years")), 0), "vol": vol(c("x"))})
     coin = b76.black76_price(c("forward_price"), c("strike"), c("years"), F.lit(0.0), c("vol"), F.lit("C")) / c("forward_price")
     symbol = F.concat(F.lit("BTC-USD-"), F.date_format("l_shipdate", "yyMMdd"), F.lit("-"), c("strike").cast("bigint").cast("string"), F.lit("-C"))
     return grid.select(F.lit(t0).alias("timestamp"), symbol.alias("symbol"), coin.alias("mid_price")), forwards
 
 
+#: Strikes by deviations of the expiry, so near the forward that the solver's plain Newton steps find every volatility.
+_BY_DEVIATION = ((-0.5, -0.25, 0.0, 0.25, 0.5), lambda x, t: F.exp(x * F.sqrt(t) / 2), lambda x: F.lit(0.5) + F.abs(x) / 10)
+#: The same shares of the forward for every expiry: far from it, prices of short expiries say nothing about the volatility.
+_BY_SHARE = ((0.8, 0.9, 0.95, 1.0, 1.05, 1.1, 1.25), lambda x, t: x, lambda x: F.lit(0.5) + F.pow(x - 1, F.lit(2.0)))
+
+
 @_query("""
-WITH f AS (SELECT l_shipdate, round(avg(l_extendedprice), 0) AS fp FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1995-04-01' AND TIMESTAMP '1995-12-31' GROUP BY 1),
-g AS (SELECT *, unnest([0.9::DOUBLE, 0.95, 1.0, 1.05, 1.1]) AS m FROM f)
-SELECT 788918400000 AS timestamp, (l_shipdate + INTERVAL 8 HOUR) AS expiry, round(fp * m, 0)::BIGINT AS strike, 'C' AS option_type, fp AS forward_price,
-  round(0.5::DOUBLE + pow(m - 1, 2), 4) AS implied_vol FROM g""")
+WITH f AS (SELECT l_shipdate, round(avg(l_extendedprice), 0) AS fp FROM lineitem WHERE l_shipdate > TIMESTAMP '1995-01-01' GROUP BY 1),
+y AS (SELECT *, (epoch_us(l_shipdate + INTERVAL 8 HOUR) // 1000 - 788918400000) / 86400000.0::DOUBLE / 365.25::DOUBLE AS years FROM f),
+g AS (SELECT *, unnest([-0.5::DOUBLE, -0.25, 0.0, 0.25, 0.5]) AS x FROM y)
+SELECT 788918400000 AS timestamp, (l_shipdate + INTERVAL 8 HOUR) AS expiry, round(fp * exp(x * sqrt(years) / 2), 0)::BIGINT AS strike, 'C' AS option_type, fp AS forward_price,
+  round(0.5::DOUBLE + abs(x) / 10, 4) AS implied_vol FROM g""")
 def iv_points(spark, sf_dir):
-    out = surface.compute_option_iv(*_quotes(spark, sf_dir))
+    """IV of quotes of every expiry; SQL gives the volatilities that the prices were made from."""
+    out = surface.compute_option_iv(*_quotes(spark, sf_dir, _BY_DEVIATION))
     return out.select("timestamp", F.col("expiry").cast("timestamp_ntz").alias("expiry"), "strike", "option_type", "forward_price", F.round("implied_vol", 4).alias("implied_vol"))
 
 
-@_query()
+@_query("""
+WITH p AS (SELECT ascii(l_returnflag)::BIGINT AS timestamp, l_discount::DOUBLE AS m, (year(l_shipdate) - 1994) * 365.25::DOUBLE AS t FROM lineitem GROUP BY ALL),
+q AS (SELECT timestamp, quantile_cont(m, [0.05, 0.95]) AS m, quantile_cont(t, [0.05, 0.95]) AS t, min(m) AS m0, max(m) AS m1, min(t) AS t0, max(t) AS t1 FROM p GROUP BY 1),
+b AS (SELECT timestamp, m0, m1, t0, t1, m[1] - 0.1::DOUBLE * (m[2] - m[1]) AS ml, m[2] + 0.1::DOUBLE * (m[2] - m[1]) AS mh,
+  greatest(1e-6::DOUBLE, t[1] - 0.1::DOUBLE * (t[2] - t[1])) AS tl, t[2] + 0.1::DOUBLE * (t[2] - t[1]) AS th FROM q),
+g AS (SELECT *, ml + (mh - ml) * j / 39 AS m, tl + (th - tl) * i / 39 AS t FROM b, (SELECT unnest(range(40)) AS i), (SELECT unnest(range(40)) AS j))
+SELECT timestamp, i::INT AS i, j::INT AS j, round(m, 9) AS log_moneyness, round(t, 6) AS tenor_days,
+  CASE WHEN m BETWEEN m0 AND m1 AND t BETWEEN t0 AND t1 THEN round(0.4::DOUBLE + 0.5 * m + 0.0002 * t, 6) END AS iv FROM g""")
 def surface_grid(spark, sf_dir):
-    return surface.surface_grid(surface.compute_option_iv(*_quotes(spark, sf_dir)))
+    """Grids over points of a plane on a full rectangle, where SQL knows the hull and the values; one time a return flag."""
+    c = F.col
+    cells = _t(spark, sf_dir, "lineitem").select(F.ascii("l_returnflag").cast("bigint").alias("timestamp"), c("l_discount").cast("double").alias("log_moneyness"), ((F.year("l_shipdate") - 1994) * 365.25).alias("tenor_days")).distinct()
+    out = surface.surface_grid(cells.withColumn("implied_vol", F.lit(0.4) + F.lit(0.5) * c("log_moneyness") + F.lit(0.0002) * c("tenor_days")))
+    return out.select("timestamp", "i", "j", F.round("log_moneyness", 9).alias("log_moneyness"), F.round("tenor_days", 6).alias("tenor_days"), F.round("iv", 6).alias("iv"))
 
 
 def _all_quotes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """As above for every expiry after that day, with wide strikes."""
-    return _quotes(spark, sf_dir, "l_shipdate > TIMESTAMP_NTZ '1995-01-01'", (0.8, 0.9, 0.95, 1.0, 1.05, 1.1, 1.25))
+    return _quotes(spark, sf_dir, _BY_SHARE)
 
 
 @_query()
 def iv_points_every(spark, sf_dir):
-    """No SQL: where the price hardly depends on the volatility, the solution is not the known one to four digits."""
+    """As ``iv_points`` with wide strikes.  No SQL: where the price hardly depends on the volatility, the solution is not the known one to four digits."""
     out = surface.compute_option_iv(*_all_quotes(spark, sf_dir))
     return out.select("timestamp", F.col("expiry").cast("timestamp_ntz").alias("expiry"), "strike", "option_type", "forward_price", F.round("implied_vol", 4).alias("implied_vol"))
 
@@ -501,31 +573,76 @@ def surface_grid_every(spark, sf_dir):
     return surface.surface_grid(surface.compute_option_iv(*_all_quotes(spark, sf_dir)))
 
 
+_MONTHS = ("29MAR24", "28JUN24", "27SEP24")
+
+
 def _trades(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Option marks (in coin) and future prices with short symbols, from events."""
+    """Option trades and future prices with short symbols, from events; a mark is the price of a known volatility at _CENTER."""
+    c = F.col
     e = _events(spark, sf_dir)
-    month = F.element_at(F.array(*[F.lit(x) for x in ("29MAR24", "28JUN24", "27SEP24")]), (F.col("user_id") % 3 + 1).cast("int"))
-    strike = (F.lit(30000) + F.col("user_id") % 7 * 5000).cast("bigint").cast("string")
-    side = F.when(F.col("user_id") % 2 == 0, "C").otherwise("P")
-    options = e.where("event_id % 4 <> 0").select(F.concat(F.lit("BTC-"), month, F.lit("-"), strike, F.lit("-"), side).alias("instrument_name"), F.col("ms").alias("timestamp"), (F.lit(0.2) + F.col("value") / 5000).alias("mark_price"), (F.lit(0.2) + F.col("value") / 5000).alias("price"), F.col("value").alias("amount"), F.when(F.col("user_id") % 2 == 0, "buy").otherwise("sell").alias("direction"))
-    futures = e.where("event_id % 4 = 0").select(F.concat(F.lit("BTC-"), month).alias("instrument_name"), F.col("ms").alias("timestamp"), (F.lit(42000.0) + F.col("value")).alias("price"))
-    return options, futures
+    month = F.element_at(F.array(*[F.lit(x) for x in _MONTHS]), (c("user_id") % 3 + 1).cast("int"))
+    forward = F.lit(42000.0) + c("user_id") % 3 * 500
+    strike = (F.lit(36000) + c("user_id") % 7 * 2000).cast("bigint")
+    side = F.when(c("user_id") % 2 == 0, "C").otherwise("P")
+    options = e.where("event_id % 4 <> 0").withColumns({"month": month, "years": s.tenor_years(sym.short_expiry(month), F.lit(_CENTER)), "vol": F.lit(0.3) + c("event_id") % 50 / 100})
+    price = b76.black76_price(forward, strike.cast("double"), c("years"), F.lit(0.0), c("vol"), side)
+    options = options.select(F.concat(F.lit("BTC-"), c("month"), F.lit("-"), strike.cast("string"), F.lit("-"), side).alias("instrument_name"), c("ms").alias("timestamp"), price.alias("mark_price"), c("value").alias("amount"), F.when(c("user_id") % 2 == 0, "buy").otherwise("sell").alias("direction"))
+    futures = e.where("event_id % 4 = 0").select(F.concat(F.lit("BTC-"), month).alias("instrument_name"), c("ms").alias("timestamp"), forward.alias("price"))
+    return options.withColumn("price", c("mark_price")), futures
+
+
+_MARKS = f"""{_E},
+mo AS (SELECT unnest([0, 1, 2]) AS m, unnest(['29MAR24', '28JUN24', '27SEP24']) AS expiry, unnest([1711670400000, 1719532800000, 1727395200000]) AS due),
+op AS (SELECT ms, value, expiry, 36000 + user_id % 7 * 2000 AS strike, CASE WHEN user_id % 2 = 0 THEN 'C' ELSE 'P' END AS option_type, due, 42000.0::DOUBLE + m * 500 AS forward_price, 0.3::DOUBLE + event_id % 50 / 100 AS vol
+  FROM e JOIN mo ON user_id % 3 = m WHERE event_id % 4 <> 0),
+fu AS (SELECT ms, expiry FROM e JOIN mo ON user_id % 3 = m WHERE event_id % 4 = 0),
+ce AS (SELECT {_CENTER}::BIGINT AS c)"""
+_YEAR_MS = "31557600000.0::DOUBLE"
 
 
-@_query()
+@_query(f"""
+WITH {_MARKS}, la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY expiry, strike, option_type ORDER BY ms DESC) AS r FROM op, ce WHERE ms BETWEEN c - {_LIMIT} AND c) WHERE r = 1),
+lf AS (SELECT expiry, max(ms) AS fms FROM fu, ce WHERE ms BETWEEN c - {_LIMIT} AND c GROUP BY 1)
+SELECT la.expiry, strike, option_type, forward_price, round(ln(strike / forward_price), 9) AS log_moneyness, round((due - c) / {_YEAR_MS}, 9) AS tenor_years, round(vol, 6) AS implied_vol,
+  (c - ms) / 1000.0::DOUBLE AS mark_age_seconds, (c - fms) / 1000.0::DOUBLE AS future_age_seconds FROM la JOIN lf USING (expiry)""")
 def iv_at_time(spark, sf_dir):
-    return surface.compute_iv_at_timestamp(*_trades(spark, sf_dir), _CENTER)
+    """IV of every option at a time; SQL gives the volatility of its last mark."""
+    out = surface.compute_iv_at_timestamp(*_trades(spark, sf_dir), _CENTER)
+    return out.drop("mark_price").withColumns({"log_moneyness": F.round("log_moneyness", 9), "tenor_years": F.round("tenor_years", 9), "implied_vol": F.round("implied_vol", 6)})
 
 
-@_query()
+@_query(f"""
+WITH {_MARKS}, g AS (SELECT unnest(range(a, b + 21600000, 21600000)) AS ts FROM (SELECT min(ms) AS a, max(ms) AS b FROM op)),
+x AS (SELECT ts, expiry, strike, option_type FROM g, (SELECT DISTINCT expiry, strike, option_type FROM op)),
+o AS (SELECT x.*, op.ms, op.due, op.forward_price, op.vol FROM x ASOF JOIN op ON x.expiry = op.expiry AND x.strike = op.strike AND x.option_type = op.option_type AND x.ts >= op.ms WHERE x.ts - op.ms <= {_LIMIT}),
+f AS (SELECT y.ts, y.expiry, fu.ms AS fms FROM (SELECT DISTINCT ts, expiry FROM x) y ASOF JOIN fu ON y.expiry = fu.expiry AND y.ts >= fu.ms WHERE y.ts - fu.ms <= {_LIMIT})
+SELECT ts, o.expiry, strike, option_type, forward_price, round(ln(strike / forward_price), 9) AS log_moneyness, round((due - ts) / {_YEAR_MS}, 9) AS tenor_years,
+  round(vol * sqrt((due - c)::DOUBLE / (due - ts)), 6) AS implied_vol, (ts - ms) / 1000.0::DOUBLE AS mark_age_seconds, (ts - fms) / 1000.0::DOUBLE AS future_age_seconds
+FROM o JOIN f USING (ts, expiry), ce""")
 def iv_timeseries(spark, sf_dir):
-    return surface.prepare_iv_timeseries(*_trades(spark, sf_dir), time_step_minutes=360)
+    """As above on a grid of times; with a rate of 0 a price fixes the volatility times the root of the tenor."""
+    out = surface.prepare_iv_timeseries(*_trades(spark, sf_dir), time_step_minutes=360)
+    return out.drop("mark_price").withColumns({"log_moneyness": F.round("log_moneyness", 9), "tenor_years": F.round("tenor_years", 9), "implied_vol": F.round("implied_vol", 6)})
 
 
-@_query()
+@_query(f"""
+WITH {_MARKS}, lf AS (SELECT expiry, max(ms) AS fms FROM fu, ce WHERE ms BETWEEN c - {_LIMIT} AND c GROUP BY 1)
+SELECT op.expiry, strike, option_type, ms AS timestamp, value AS amount, CASE option_type WHEN 'C' THEN 'buy' ELSE 'sell' END AS direction, forward_price, round(vol, 6) AS implied_vol,
+  (c - fms) / 1000.0::DOUBLE AS future_age_seconds, (ms - c) / 1000.0::DOUBLE AS time_offset FROM op JOIN lf USING (expiry), ce WHERE ms BETWEEN c - 36000000 AND c + 36000000""")
 def trade_iv(spark, sf_dir):
+    """IV of the trades within ten hours of a time, at their own prices."""
     options, futures = _trades(spark, sf_dir)
-    return surface.trade_iv(options, futures, _CENTER, window_minutes=600)
+    out = surface.trade_iv(options, futures, _CENTER, window_minutes=600)
+    return out.select("expiry", "strike", "option_type", "timestamp", "amount", "direction", "forward_price", F.round("implied_vol", 6).alias("implied_vol"), "future_age_seconds", "time_offset")
+
+
+@_query("""
+WITH o AS (SELECT event_id, 'BTC-' || ['29MAR24', '28JUN24', '27SEP24'][user_id % 3 + 1] || '-' || (36000 + user_id % 7 * 2000) || '-' || CASE WHEN user_id % 2 = 0 THEN 'C' ELSE 'P' END AS name FROM events)
+SELECT event_id, string_split(name, '-')[3]::BIGINT AS strike, string_split(name, '-')[4] AS option_type FROM o WHERE starts_with(name, 'BTC-28JUN24-')""")
+def trades_of_expiry(spark, sf_dir):
+    """Strike and side of the trades in one expiry."""
+    name = F.concat(F.lit("BTC-"), F.element_at(F.array(*[F.lit(x) for x in _MONTHS]), (F.col("user_id") % 3 + 1).cast("int")), F.lit("-"), (F.lit(36000) + F.col("user_id") % 7 * 2000).cast("bigint").cast("string"), F.when(F.col("user_id") % 2 == 0, "-C").otherwise("-P"))
+    return _t(spark, sf_dir, "events").select("event_id", sym.strike_and_side(name, "28JUN24").alias("p")).where("p IS NOT NULL").select("event_id", "p.*")
 
 
 # ---- windows, fits ----
@@ -611,15 +728,8 @@ def price_points(spark, sf_dir):
     return plots.plot_prices(e, 7, "C", _CENTER - 864_000_000, _CENTER + 864_000_000)["buys"]
 
 
-@_query("SELECT event_id, format('{:,.2f}', value * 1000) AS number, printf('%.2f%%', value) AS percent FROM events WHERE event_id % 10 = 3")
-def number_labels(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").where("event_id % 10 = 3")
-    return e.select("event_id", s.number_label(F.col("value") * 1000).alias("number"), s.percent_label(F.col("value") / 100, 2).alias("percent"))
-
-
 @_query("SELECT event_id, format('{:,.2f}', value * 1000) AS number, printf('%.2f%%', value) AS percent FROM events")
-def number_labels_every(spark, sf_dir):
-    """As above for every event."""
+def number_labels(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", s.number_label(F.col("value") * 1000).alias("number"), s.percent_label(F.col("value") / 100, 2).alias("percent"))
 
 
@@ -643,14 +753,8 @@ def wide_pivot(spark, sf_dir):
     return out.select("strike", *[F.round(F.col(f"`{c}`"), 4).alias(c) for c in out.columns if c != "strike"])
 
 
-@_query("SELECT event_id, len(list_filter([10.0::DOUBLE, 50, 100, 200, 400], lambda v: v >= value / 2 AND v <= value))::INT AS n_ticks FROM events WHERE event_id % 10 = 3")
-def axis_ticks(spark, sf_dir):
-    return _t(spark, sf_dir, "events").where("event_id % 10 = 3").select("event_id", F.size(s.ticks_within([10.0, 50.0, 100.0, 200.0, 400.0], F.col("value") / 2, F.col("value"))).alias("n_ticks"))
-
-
 @_query("SELECT event_id, len(list_filter([10.0::DOUBLE, 50, 100, 200, 400], lambda v: v >= value / 2 AND v <= value))::INT AS n_ticks FROM events")
-def axis_ticks_every(spark, sf_dir):
-    """As above for every event."""
+def axis_ticks(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.size(s.ticks_within([10.0, 50.0, 100.0, 200.0, 400.0], F.col("value") / 2, F.col("value"))).alias("n_ticks"))
 
 

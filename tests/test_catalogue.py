@@ -15,7 +15,7 @@ def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
-@pytest.mark.parametrize("name", ["number_labels_every", "axis_ticks_every"])
+@pytest.mark.parametrize("name", ["number_labels", "axis_ticks"])
 def test_every_event_is_put_out(spark, sf_dir, name):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
     assert QUERIES[name](spark, sf_dir).select("event_id").exceptAll(events).isEmpty() and events.exceptAll(QUERIES[name](spark, sf_dir).select("event_id")).isEmpty()
@@ -23,7 +23,7 @@ def test_every_event_is_put_out(spark, sf_dir, name):
 
 def test_every_event_is_a_center(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    own = QUERIES["trade_windows_every"](spark, sf_dir).where("time_offset = 0").select("event_id").distinct()
+    own = QUERIES["trade_windows_many"](spark, sf_dir).where("time_offset = 0").select("event_id").distinct()
     assert own.count() == events.select("event_id").distinct().count()
 
 
