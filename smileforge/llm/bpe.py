@@ -258,4 +258,5 @@ def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens, and digests of ids and of the decoded text, of every document."""
     return digests(table(spark, sf_dir, "documents"))

@@ -7,7 +7,8 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_OPEN: list[list[Workspace]] = []
+
+
+@contextmanager
+def disposable() -> Iterator[None]:
+    """Tables that are written inside by workspaces made inside are deleted at the end, unless they are kept."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for space in _OPEN.pop():
+            space.drop_all()
+
+
 class Workspace:
     """Tables of one run, written as Parquet under the shared folder so that lost executors cost no recomputation."""
 
@@ -41,6 +56,8 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        if _OPEN:
+            _OPEN[-1].append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -52,11 +69,15 @@ class Workspace:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables of this run that nothing reads any more."""
-        jvm = self.spark._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._workspace_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(df._workspace_path)
+
+    def drop_all(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _HELD: list = [None, None]

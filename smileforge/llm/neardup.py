@@ -345,4 +345,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
 
 
 def op8_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies by four-word shingles, at a similarity of 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)

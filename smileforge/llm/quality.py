@@ -150,7 +150,8 @@ def rules(docs: DataFrame, bands: dict[str, tuple[float, float, float, float]] =
     """Base counts, fertility measures and verdict of every row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text; a null text has none
-    and fails the base rules.  The measures of a text without words are 0.
+    and fails the base rules; a very long one is measured in slices.  The
+    measures of a text without words are 0.
     Repeated rows give repeated rows, an empty table an empty result; other
     columns play no part, but ``lang`` names one that is put out as lang_.
     There is no shuffle.
@@ -241,4 +242,5 @@ def fitted_rules(docs: DataFrame, lang: str = "lang") -> DataFrame:
 
 
 def op1_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, fertility and verdict of every document, with fences fitted on the table."""
     return fitted_rules(table(spark, sf_dir, "documents"))

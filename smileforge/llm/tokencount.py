@@ -124,8 +124,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_words and n_tokens of every row of ``docs``.
 
     Pre-tokens are the words ``[^\\x20\\x09-\\x0D]+`` of the whole text, each
-    with a leading mark as the vocabulary has it.  Null, empty and blank texts
-    have no tokens.  Repeated rows give repeated rows, an empty table an empty
+    with a leading mark as the vocabulary has it; very long texts come in
+    slices of words.  Null, empty and blank texts have no tokens.  Repeated rows give repeated rows, an empty table an empty
     result; other columns play no part.  There is no shuffle: the tries
     belong to the Python workers and are bounded.
     """
@@ -145,4 +145,5 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of every document."""
     return token_counts(table(spark, sf_dir, "documents"))

@@ -1,17 +1,19 @@
 """URL filter: rules first, then logistic regression on hashed character n-grams of host and path.
 
-The regression is trained on the driver from a small labelled table and scores
-in numpy on the executors.
+Host, path and rule are column expressions.  The regression is trained on the
+driver from a small labelled table and scores in Arrow batches.
 """
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -68,10 +70,19 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, tail[: min(stops, default=len(tail))]
 
 
-def rule_for(host: str, path: str, rules=RULES) -> tuple[str, str] | None:
-    """(rule string, verdict) of the longest rule that fits; of equally long ones the first by name."""
-    fits = [(h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    return min(fits, key=lambda x: (-len(x[0]), x[0])) if fits else None
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    """``split_url`` as column expressions."""
+    part = lambda k: F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)", k), F.lit(""))
+    return F.translate(part(1), string.ascii_uppercase, string.ascii_lowercase), part(2)
+
+
+def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
+    """(rule string, verdict) of the longest rule that fits, else null; of equally long ones the first by name."""
+    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for v, h, p in sorted(rules, key=lambda x: (-len(x[1] + x[2]), x[1] + x[2]), reverse=True):
+        fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
+        rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(v)).otherwise(verdict)
+    return rule, verdict
 
 
 def grams(host: str, path: str) -> np.ndarray:
@@ -121,26 +132,26 @@ def judge(pages: DataFrame, rules=RULES, urls=LABELLED_URLS) -> DataFrame:
 
     The longest rule that fits decides; without one the regression does, from
     a probability of 0.5.  A null url, or one without ``://``, has an empty host
-    and path and is judged by the regression like any other.  Repeated rows
-    give repeated rows, an empty table an empty result; other columns are not read.
+    and path and is judged by the regression like any other.  Very long urls are
+    taken whole.  Repeated rows give repeated rows, an empty table an empty
+    result; other columns are not read.
     """
     model = fit(urls)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for url in batch.column("url").to_pylist():
-                host, path = split_url(url)
-                score = model.score(host, path)
-                rule = rule_for(host, path, rules)
-                for column, v in zip(out, (host, path, rule[0] if rule else None, rule[1] if rule else "block" if score >= BLOCK_FROM else "allow", score), strict=True):
-                    column.append(v)
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["page_id", "host", "path", "rule", "verdict", "score"])
+            scores = [model.score(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
+    host, path = host_and_path(F.col("url"))
+    split = pages.select("page_id", host.alias("host"), path.alias("path"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url").mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    scored = split.mapInArrow(run, f"page_id {kind}, host string, path string, score double")
+    rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
+    model_says = F.when(F.col("score") >= BLOCK_FROM, "block").otherwise("allow")
+    return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, model_says).alias("verdict"), "score")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
     return judge(table(spark, sf_dir, "pages"))

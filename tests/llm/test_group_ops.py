@@ -332,6 +332,39 @@ def test_fresh_names(edge):  # noqa: F811
     assert fresh(edge, "s_", "new", "NEW") == ["s__", "new", "NEW_"]
 
 
+def test_disposable_tables_go(spark, tmp_path):
+    import os
+
+    from smileforge.llm.common import disposable
+
+    kept = Workspace(spark, "kept")
+    with disposable():
+        gone = Workspace(spark, "gone")
+        out = kept.write(gone.write(spark.range(5)))
+        assert os.path.isdir(gone.root)
+    assert not os.path.isdir(gone.root) and out.count() == 5
+
+
+def test_pipeline_edges(spark, edge, none):  # noqa: F811
+    """Null ids and texts, repeated rows, a very long text, clashing columns; and an empty table."""
+    import corpus_pipeline as cp
+    from smileforge.llm.common import disposable
+
+    labels = spark.createDataFrame([(4, 1), (6, 0)], "doc_id long, toxic int")
+    space = Workspace(spark, "edges")
+    labels.write.mode("overwrite").parquet(f"{space.root}/labels.parquet")
+    for docs, want in ((edge.withColumn("n_lines", F.lit("mine")), len(EDGE) - 1), (none, 0)):
+        columns = docs.columns
+        for name, stage in cp.STAGES:
+            with disposable():
+                docs = space.write(stage(spark, docs, space.root))
+            if name == "minhash_neardup":
+                assert docs.count() == want
+            if name != "bpe":
+                assert docs.columns == columns
+        assert (docs.count() > 0) == bool(want)
+
+
 def test_pipeline_equals_slow_version(spark, sf_dir):
     """Stage by stage, each against a plain version fed with the same rows."""
     import hashlib
