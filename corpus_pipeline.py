@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smileforge.llm import bpe, linededup, mixing, neardup, toxicity
-from smileforge.llm.common import Workspace, table
+from smileforge.llm.common import Workspace, disposable, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; what a stage no longer needs is deleted."""
     space = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = space.write(stage(spark, docs, sf_dir))
+        with disposable():
+            docs = space.write(stage(spark, docs, sf_dir))
+        space.drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
