@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ CACHE_WORDS = 300_000
 SLICE_WORDS = 150_000
 UNKNOWN_LANGUAGE = "und"
 _LETTERS = regex.compile(r"\p{L}+")
+_NO_LETTERS = regex.compile(r"[^\p{L}\s]+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,7 +55,7 @@ def held_out(doc_id: Column) -> Column:
 
 def letters(word: str) -> str:
     """The letters of a word, lower-cased."""
-    return "".join(_LETTERS.findall(word)).lower()
+    return _NO_LETTERS.sub("", word).lower()
 
 
 def parts(word: str) -> list[str]:
@@ -69,8 +71,8 @@ class Lattice:
         sizes = np.array([len(w) + 1 for w in words], np.int64)
         begins = np.concatenate([[0], np.cumsum(sizes)])
         text = "\n".join(words)
-        found = np.fromiter((end << 32 | v for end, v in automaton.iter(text)), np.int64)
-        ends, value = (found >> 32) + 1, found & 0xFFFFFFFF
+        found = np.fromiter(chain.from_iterable(automaton.iter(text)), np.int64).reshape(-1, 2)
+        ends, value = found[:, 0] + 1, found[:, 1]
         length, piece = value & 0xFF, value >> 8
         word = np.searchsorted(begins, ends - 1, "right") - 1
         self.size = sizes - 1
@@ -152,8 +154,10 @@ class Model:
 
     def log_words(self, words: list[str]) -> np.ndarray:
         """log probability of each word in each language, over all segmentations; 0 for a word without letters."""
-        out = np.zeros((len(words), len(self.languages)))
-        shown = [letters(w) for w in words]
+        return self._log([letters(w) for w in words])
+
+    def _log(self, shown: list[str]) -> np.ndarray:
+        out = np.zeros((len(shown), len(self.languages)))
         usual = sorted((k for k, x in enumerate(shown) if 0 < len(x) <= LONG_WORD), key=lambda k: len(shown[k]))
         for lo in range(0, len(usual), 8192):
             some = usual[lo : lo + 8192]
@@ -191,7 +195,7 @@ class Model:
             grown = np.zeros((max(2 * len(self._table), n + len(new), 4096), len(self.languages)))
             grown[:n] = self._table[:n]
             self._table = grown
-        self._table[n : n + len(new)] = self.log_words(new)
+        self._table[n : n + len(new)] = self._log(new)
 
     def _sum(self, words: list[str]) -> np.ndarray:
         """Sum over the words, in an order that only the text decides."""
@@ -216,7 +220,7 @@ class Model:
         for i, text in enumerate(texts):
             if not text or not _LETTERS.search(text):
                 continue
-            words = text.split()
+            words = letters(text).split()  # a word's letters stay together
             if len(words) > SLICE_WORDS:
                 total = np.zeros(len(self.languages))
                 for lo in range(0, len(words), SLICE_WORDS):
