@@ -7,7 +7,8 @@ from .operators.asof import asof_grid, asof_join, get_futures_prices_at_time, tr
 from .operators.orderbook import bin_orderbook, get_option_combos, standardize_orderbook_columns, trim_orderbook
 from .operators.plots import create_heatmap, create_iv_surface_plot, create_iv_surface_viewer, create_scatter_trace, create_surface_trace, create_trade_scatter_trace, plot_prices
 from .operators.surface import compute_iv_at_timestamp, compute_option_iv, construct_iv_surface, interpolate_surface, prepare_iv_timeseries, surface_grid, trade_iv
-from .sources.archive import fetch_market_data, read_book, read_index, read_module
+from .sources.archive import fetch_market_data, index_lister, read_book, read_index, read_module
+from .sources.history import construct_iv_surface_from_archive
 from .sources.planner import create_date_chunks
 from .sources.trades import get_trades, get_trades_by_instrument, one_page, read_instruments, read_pages
 

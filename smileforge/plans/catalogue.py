@@ -19,6 +19,7 @@ from ..functions import symbols as sym
 from ..operators import analytics as a
 from ..operators import asof, orderbook, plots, surface
 from ..sources.planner import create_date_chunks
+from . import archives
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -763,3 +764,7 @@ SELECT (epoch_ms(d) - 28800000)::BIGINT AS begin_ms, (epoch_ms(least(d + INTERVA
 FROM (SELECT unnest(range(TIMESTAMP '2025-01-01', TIMESTAMP '2025-03-01', INTERVAL 20 DAY)) AS d)""")
 def date_chunks(spark, sf_dir):
     return spark.createDataFrame(create_date_chunks(date(2025, 1, 1), date(2025, 3, 1), 1), "begin_ms bigint, end_ms bigint")
+
+
+QUERIES |= archives.QUERIES
+ORACLE_SQL |= archives.ORACLE_SQL

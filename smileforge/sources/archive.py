@@ -28,6 +28,28 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return files.select("f.*")
 
 
+def index_summary(index: DataFrame) -> DataFrame:
+    """(files, megabytes) of an index; a file of unknown size counts as 0 MB."""
+    return index.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("sizeMB"), F.lit(0.0)).alias("megabytes"))
+
+
+def index_lister(spark: SparkSession, template: str) -> Callable[[int, int], list[tuple[str, str]]]:
+    """A ``lister`` for ``fetch_market_data`` that reads a saved index for each chunk.
+
+    ``template`` is the path of an index with ``{begin}`` and ``{end}`` in ms.
+    It gives (file name, url) of every file listed, as many as the reply names;
+    a chunk without an index, or with a bad reply, gives none.
+    """
+
+    def listed(begin: int, end: int) -> list[tuple[str, str]]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(template.format(begin=begin, end=end))
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return []
+        return [(r["filename"], r["url"]) for r in read_index(spark, path.toString()).select("filename", "url").collect()]
+
+    return listed
+
+
 def family_filter(families: list[str] | str) -> Callable[[str], bool]:
     """File-name test for one or more instrument families."""
     names = [families] if isinstance(families, str) else list(families)
@@ -62,16 +84,18 @@ def fetch_market_data(
     file_depth: int = 50,
     include_criterion: Callable[[str], bool] | None = None,
     process_fn: Callable[[DataFrame], DataFrame] | None = None,
-    lister: Callable[[int, int], list[str]] | None = None,
+    lister: Callable[[int, int], list[str | tuple[str, str]]] | None = None,
     delay: float = 0.0,
 ) -> DataFrame:
     """One scan over all files of the planned chunks.
 
     ``root`` holds folders ``<yyyy-mm-dd>/`` of files; ``lister(begin_ms,
-    end_ms)`` may name the files of a chunk instead, called with ``delay``
-    seconds between chunks.  Files are pruned by
-    family (futures) and by ``include_criterion`` before the scan; nothing found
-    gives an empty frame.  ``process_fn`` is applied to the lazy frame.
+    end_ms)`` may name the files of a chunk instead, by path or as (file name,
+    path), called with ``delay`` seconds between chunks; ``index_lister`` makes
+    one from saved index replies.  Files are pruned by family (futures) and by
+    ``include_criterion`` before the scan; nothing found gives an empty frame.
+    Spark reads the files in parallel, a task each.  ``process_fn`` is applied
+    to the lazy frame of all files.
     """
     futures = inst_type.upper() == "FUTURES"
     wanted = [include_criterion] if include_criterion else []
@@ -81,8 +105,9 @@ def fetch_market_data(
     for n, (begin, end) in enumerate(create_date_chunks(start_date, end_date, module, date_aggr_type)):
         if n and delay:
             time.sleep(delay)
-        for path in lister(begin, end) if lister else list_files(spark, root, begin, end, module):
-            if all(w(path.rsplit("/", 1)[-1]) for w in wanted):
+        for found in lister(begin, end) if lister else list_files(spark, root, begin, end, module):
+            name, path = (found.rsplit("/", 1)[-1], found) if isinstance(found, str) else found
+            if all(w(name) for w in wanted):
                 paths.append(path)
     if module == BOOK_MODULE:
         schema = schemas.raw_futures_book(file_depth) if futures else schemas.book(file_depth)

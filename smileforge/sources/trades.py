@@ -19,9 +19,9 @@ from ..operators.analytics import keep_first
 PAGE_SIZE = 10_000
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Trades of saved replies, one JSON document a file; every trade once."""
-    raw = spark.read.schema(schemas.TRADE_PAGE).option("multiLine", True).json(path)
+def read_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Trades of saved replies, one JSON document a file or, with ``lines``, a line; every trade once."""
+    raw = spark.read.schema(schemas.TRADE_PAGE).option("multiLine", not lines).json(path)
     return dedup_trades(raw.select(F.explode("result.trades").alias("t")).select("t.*"))
 
 

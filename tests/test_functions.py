@@ -90,3 +90,17 @@ def test_solver_bounds():
     p, _ = b.price_and_vega(f, f, np.array([1.0]), np.array([0.0]), np.array([8.0]), np.array([True]), np.array([False]))
     assert b.bracketed(p, f, f, [1.0], [0.0], ["C"])[0] == pytest.approx(8.0, rel=1e-3)
     assert not b.newton(p, f, f, [1.0], [0.0], ["C"]).implied_vol[0] > 5
+
+
+def test_strike_and_side(spark):
+    names = ["BTC-31OCT25-120000-C", "BTC-1NOV25-5-P", "BTC-31OCT25", "ETH-31OCT25-1-C", None]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(y.strike_and_side(F.col("n"), "31OCT25").alias("p")).collect()
+    assert [r["p"] and tuple(r["p"]) for r in rows] == [(120000, "C"), None, None, None, None]
+
+
+def test_solver_tells_why():
+    f = np.full(3, 100.0)
+    p, _ = b.price_and_vega(f, f, np.array([0.5, 2.0, 1.0]), np.zeros(3), np.array([8.0, 8.0, 0.4]), np.array([True] * 3), np.array([False] * 3))
+    r = b.newton(p, f, f, [0.5, 2.0, 1.0], [0.0] * 3, ["C"] * 3)
+    assert list(r.status) == ["failed", "accepted", "converged"] and list(r.hit_upper) == [True, True, False] and list(r.iterations[:2]) == [100, 100]
+    assert r.final_vol[0] == 5.0 and np.isnan(r.implied_vol[0]) and not r.hit_lower.any() and not r.low_vega_rounds.any()

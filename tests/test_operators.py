@@ -36,6 +36,23 @@ def test_bins_keep_last_and_first_of_ties(spark):
     assert sorted((r["symbol"], r["timestamp"], r["seq"]) for r in out.collect()) == [("a", 1000, 2), ("a", 2000, 4), ("b", 1000, 5)]
 
 
+def test_ties_go_to_the_first_row_read(spark, tmp_path):
+    rows = [("a", 1500, "later", 3.0), ("a", 1500, "alpha", 2.0), ("b", 1000, None, 5.0)]
+    spark.createDataFrame(rows, "symbol string, timeMs long, note string, px double").coalesce(1).write.parquet(str(tmp_path / "q"))
+    out = orderbook.bin_orderbook(spark.read.parquet(str(tmp_path / "q")), "1s")
+    assert sorted((r["symbol"], r["px"]) for r in out.collect()) == [("a", 3.0), ("b", 5.0)]
+    by_text = orderbook.bin_orderbook(spark.read.parquet(str(tmp_path / "q")), "1s", order="note")  # any type orders ties
+    assert sorted((r["symbol"], r["px"]) for r in by_text.collect()) == [("a", 2.0), ("b", 5.0)]
+
+
+def test_summaries(spark):
+    df = spark.createDataFrame([(1, "ab"), (1, None), (None, "c"), (None, None)], "k int, s string")
+    assert a.largest_group(df, ["k"]).first()["n"] == 2
+    assert a.dropped_duplicates(df, "k").first().asDict() == {"rows": 4, "kept": 2, "dropped": 2}
+    assert a.size_summary(df).first().asDict() == {"rows": 4, "columns": 2, "bytes": 11}
+    assert a.size_summary(df.where("false")).first()["bytes"] == 0 and a.dropped_duplicates(df.where("false"), "k").first()["rows"] == 0
+
+
 def test_combos(spark):
     df = spark.createDataFrame([("BTC-USD-250627-200000-C",), ("BTC-USD-250627-200000-P",), ("junk",)], "symbol string")
     assert [tuple(r) for r in orderbook.get_option_combos(df).collect()] == [(datetime(2025, 6, 27, 8), 200000)]

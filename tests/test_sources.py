@@ -37,6 +37,36 @@ def test_fetch_futures_book(spark, tmp_path):
     assert empty.count() == 0 and "mid_price" in empty.columns
 
 
+def test_index_decides_what_is_read(spark, tmp_path):
+    """Only listed files of the family and of known expiries are opened."""
+    from smileforge.sources.history import construct_iv_surface_from_archive, file_expiry
+
+    t0 = ms(2025, 1, 10)
+    coin = 0.08
+
+    def put(name, text):
+        with gzip.open(tmp_path / name, "wt") as f:
+            f.write(text)
+        return {"filename": name, "url": str(tmp_path / name), "sizeMB": 1.5}
+
+    quote = f"symbol,timeMs,exchTimeMs,ask_1_px,ask_1_sz,ask_1_ordcnt,bid_1_px,bid_1_sz,bid_1_ordcnt\n{{0}},{t0 + 5},{t0 + 5},{coin},1,1,{coin},1,1\n"
+    future = f"timeMs,askPx1,askSz1,askCnt1,bidPx1,bidSz1,bidCnt1\n{t0 + 1},100010,1,1,99990,1,1\n"
+    futures = [put("BTC-USD-250627.csv.gz", future), put("BTC-USDC-250627.csv.gz", "not a book")]
+    options = [put(f"{n}.csv.gz", quote.format(n)) for n in ("BTC-USD-250627-100000-C", "BTC-USD-250627-101000-P")] + [put("BTC-USD-251226-100000-C.csv.gz", "not a book"), put("readme.csv.gz", "not a book")]
+    put("BTC-USD-250627-99000-C.csv.gz", quote.format("BTC-USD-250627-99000-C"))  # not listed
+    listers = {}
+    for kind, files in (("f", futures), ("o", options)):
+        (tmp_path / f"{kind}-{t0}.json").write_text(json.dumps({"code": "0", "msg": "", "data": [{"details": [{"groupDetails": files}]}]}))
+        listers[kind] = archive.index_lister(spark, str(tmp_path / f"{kind}-{{begin}}.json"))
+    assert archive.index_summary(archive.read_index(spark, str(tmp_path / f"o-{t0}.json"))).first().asDict() == {"files": 4, "megabytes": 6.0}
+    assert listers["f"](1, 2) == []
+    (tmp_path / "bad.json").write_text(json.dumps({"code": "50011", "msg": "busy", "data": []}))
+    assert archive.index_lister(spark, str(tmp_path / "bad.json"))(1, 2) == []
+    out = construct_iv_surface_from_archive(spark, str(tmp_path), "BTC-USD", date(2025, 1, 10), 2, file_depth=1, lister=listers["f"], options_lister=listers["o"])
+    assert sorted(r["symbol"] for r in out.collect()) == ["BTC-USD-250627-100000-C", "BTC-USD-250627-101000-P"]
+    assert file_expiry("BTC-USD-250627-1-C.OK") == datetime(2025, 6, 27, 8) and file_expiry("BTC-USD-250627") is None and file_expiry("a-b-c-d-e") is None
+
+
 def test_index_and_pages(spark, tmp_path):
     (tmp_path / "index.json").write_text(json.dumps({"code": "0", "msg": "", "data": [{"details": [{"groupDetails": [{"filename": "a.csv.gz", "url": "u", "sizeMB": 1.0}]}]}]}))
     assert [r["filename"] for r in archive.read_index(spark, str(tmp_path / "index.json")).collect()] == ["a.csv.gz"]
