@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import hold, table
+from .common import hold, table, trimmed
 
 VOCABULARY = "byte_bpe_50k.json"
 _SPACES = r"\t-\r \x85\xa0  -     　"
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -254,7 +254,7 @@ def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,11 +92,7 @@ def hold(owner: str, release: Callable[[], None]) -> None:
         if _HELD[1]:
             _HELD[1]()
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            trim()
         _HELD[:] = [owner, release]
 
 
@@ -120,6 +116,25 @@ def join_side(rows: DataFrame, side: DataFrame, left: str, right: str, weight: i
     return salted.join(copies, same & (F.col(mine) == F.col(theirs)), how).drop(mine, theirs)
 
 
+def trim() -> None:
+    """Give freed memory of this Python worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with ``trim`` at the end of a task: an idle worker then leaves the executor's memory to the JVM."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def sized(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import Workspace, hold, table
+from .common import Workspace, hold, table, trimmed
 from .tokencount import MARK, unigram_scores
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -311,7 +311,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

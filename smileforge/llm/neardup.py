@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, hold, table
+from .common import Workspace, fresh, hold, table, trimmed
 from .wordhash import mix, release, shingle_sets, text_chunks
 
 PERMUTATIONS = 64
@@ -86,7 +86,7 @@ def _signed(docs: DataFrame, width: int, permutations: int, rows: int) -> DataFr
                     keys.append(bands(signature(s, permutations), rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "set_hash", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_shingles long, set_hash binary, bands array<long>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, key long, n_shingles long, set_hash binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -99,7 +99,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = list(shingle_sets(data, offsets, width))
                 yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["set_hash", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "set_hash binary, shingles binary")
+    return docs.select("text").mapInArrow(trimmed(run), "set_hash binary, shingles binary")
 
 
 def _linked(pairs: DataFrame, percent: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

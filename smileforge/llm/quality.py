@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import Workspace, hold, table
+from .common import Workspace, hold, table, trimmed
 from .wordhash import text_chunks, word_hashes, word_spans
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -184,7 +184,7 @@ def rules(docs: DataFrame, bands: dict[str, tuple[float, float, float, float]] =
     kind = docs.schema["doc_id"].dataType.simpleString()
     first = ["doc_id"] if lang is None else ["doc_id", "lang_"]
     more = [] if lang is None else [F.col(f"`{lang}`").cast("string").alias("lang_")]
-    return docs.select("doc_id", *more, "text").mapInArrow(run, f"doc_id {kind}, {'' if lang is None else 'lang_ string, '}n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, chars_per_piece double, chars_per_rank double, fallback_share double, token_entropy double")
+    return docs.select("doc_id", *more, "text").mapInArrow(trimmed(run), f"doc_id {kind}, {'' if lang is None else 'lang_ string, '}n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, chars_per_piece double, chars_per_rank double, fallback_share double, token_entropy double")
 
 
 def _length() -> Column:

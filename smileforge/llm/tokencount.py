@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import vocabulary_path
-from .common import hold, table
+from .common import hold, table, trimmed
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -141,7 +141,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array(n_tokens)], ["doc_id", "n_words", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, n_words long, n_tokens long")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

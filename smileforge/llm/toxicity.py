@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hold, table
+from .common import hold, table, trimmed
 from .langid import held_out
 
 #: Labelled documents of either kind that the model is fitted on, about; chosen by a hash of the id.
@@ -200,7 +200,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([m.score(t.as_py()) for t in batch.column("text")], pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = PREDICT_FROM) -> DataFrame:
@@ -215,7 +215,7 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = PREDICT_FROM) -> Da
             yield batch.filter(pa.array([m.score(t.as_py()) < limit for t in text], pa.bool_()))
 
     place = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
