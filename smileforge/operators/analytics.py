@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import sys
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,15 +36,78 @@ def full_outer(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full")
 
 
+#: Buckets of one histogram, and rows of a bucket up to which its values are sorted.
+BUCKETS, SMALL_BUCKET = 4096, 50_000
+LARGEST = sys.float_info.max
+
+
+def ranked(df: DataFrame, column: str, ranks: list[int], n: int, low: float, high: float) -> dict[int, float]:
+    """The values of ``column`` (numbers without null and NaN, ``n`` of them) at ranks from 0 in ascending order.
+
+    A histogram between the ends finds the bucket of each rank, and only the
+    rows of these buckets are read again, until a bucket is small or of one
+    value.  No task sees more than a bucket, and only bucket counts and the
+    wanted values reach the driver.
+    """
+    out: dict[int, float] = {}
+    todo = [(low, high, 0, n, sorted(set(ranks)))]
+    x = F.col(column)
+    while todo:
+        lo, hi, before, size, wanted = todo.pop()
+        inside = df.where(x.between(lo, hi))
+        if lo == hi:
+            out |= dict.fromkeys(wanted, lo)
+        elif size <= SMALL_BUCKET:
+            counts = inside.groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n")).withColumn("to", F.sum("n").over(Window.orderBy("x")) + before)
+            ends = {r["x"]: r["to"] for r in counts.where(F.exists(F.array(*[F.lit(k) for k in wanted]), lambda k: (k < F.col("to")) & (k >= F.col("to") - F.col("n")))).collect()}
+            for k in wanted:
+                out[k] = min(v for v, to in ends.items() if k < to)
+        else:
+            # Quarters, as the difference of the largest values is no number; the ends fall in the first and the last bucket.
+            place = F.least(F.floor((x / 4 - lo / 4) / (hi / 4 - lo / 4) * BUCKETS), F.lit(BUCKETS - 1))
+            hist = inside.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()
+            at = before
+            for r in sorted(hist, key=lambda r: r["b"]):
+                here = [k for k in wanted if at <= k < at + r["n"]]
+                if here:
+                    todo.append((r["lo"], r["hi"], at, r["n"], here))
+                at += r["n"]
+    return out
+
+
+def exact_quantiles(df: DataFrame, at: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns with linear interpolation; null and NaN are left out, nothing left gives None.
+
+    Infinite values are ranked as the largest finite ones and come out infinite.
+    """
+    number = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), F.least(F.greatest(F.col(c).cast("double"), F.lit(-LARGEST)), F.lit(LARGEST)))
+    ends = df.agg(*[F.struct(F.count(number(c)).alias("n"), F.min(number(c)).alias("lo"), F.max(number(c)).alias("hi")).alias(c) for c in at]).first()
+    out: dict[str, list[float | None]] = {}
+    for c, shares in at.items():
+        n, lo, hi = ends[c]["n"], ends[c]["lo"], ends[c]["hi"]
+        if not n:
+            out[c] = [None] * len(shares)
+            continue
+        places = [p * (n - 1) for p in shares]
+        values = ranked(df.select(number(c).alias(c)), c, [k for p in places for k in (int(p), min(int(p) + 1, n - 1))], n, lo, hi)
+        values = {k: math.copysign(math.inf, v) if abs(v) == LARGEST else v for k, v in values.items()}
+        out[c] = [values[int(p)] if p == int(p) else (int(p) + 1 - p) * values[int(p)] + (p - int(p)) * values[int(p) + 1] for p in places]
+    return out
+
+
+def _lit(x: float | None) -> Column:
+    return F.lit(x).cast("double")
+
+
 def describe(df: DataFrame, column: str) -> DataFrame:
     """count, mean, std, min, exact quartiles and max; NaN does not count."""
     x = F.nanvl(F.col(column), F.lit(None).cast("double"))
-    q = F.percentile(x, [0.25, 0.5, 0.75])
-    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(x).alias("max"))
+    q = exact_quantiles(df, {column: [0.25, 0.5, 0.75]})[column]
+    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).select("count", "mean", "std", "min", *[_lit(v).alias(c) for c, v in zip(("p25", "p50", "p75"), q)], "max")
 
 
 def quantiles(column: str, at: list[float]) -> Column:
-    """Exact quantiles with linear interpolation, NaN left out."""
+    """Quantiles with linear interpolation as an aggregate, NaN left out; for small groups, as one task holds a group's distinct values."""
     return F.percentile(F.nanvl(F.col(column), F.lit(None).cast("double")), at)
 
 
@@ -117,7 +183,7 @@ def union_all(*frames: DataFrame) -> DataFrame:
 def dense_cells(df: DataFrame, row: str, column: str, value: Column) -> DataFrame:
     """(row, column, value) for all rows and all columns that exist, 0 where nothing fell."""
     sums = df.groupBy(row, column).agg(F.sum(value).alias("v"))
-    grid = df.select(row).distinct().join(F.broadcast(df.select(column).distinct()), how="cross")
+    grid = df.select(row).distinct().crossJoin(df.select(column).distinct())  # the dense form itself is the result
     return grid.join(sums, [row, column], "left").select(row, column, F.coalesce("v", F.lit(0.0)).alias("value"))
 
 
@@ -137,9 +203,15 @@ def create_value_pivot(df: DataFrame, width: int = 3) -> DataFrame:
     return rolling_mean(dense_cells(df, "strike", "hour", F.col("amount") * F.col("price")), "strike", "hour", width)
 
 
+#: Columns that a wide table may have.
+MAX_COLUMNS = 10_000
+
+
 def wide(cells: DataFrame, row: str, column: str, value: str = "rolling") -> DataFrame:
-    """One column per value of ``column`` (its labels are sorted first, so the schema is stable)."""
-    labels = [r[0] for r in cells.select(column).distinct().orderBy(column).collect()]
+    """One column per value of ``column`` (its labels are sorted first, so the schema is stable); more than MAX_COLUMNS are an error."""
+    labels = [r[0] for r in cells.select(column).distinct().orderBy(column).limit(MAX_COLUMNS + 1).collect()]
+    if len(labels) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} columns: use the long form")
     return cells.groupBy(row).pivot(column, labels).agg(F.sum(value)).na.fill(0)
 
 
@@ -174,23 +246,24 @@ def fitted_curve(fit: DataFrame, group: str, points: int = 100) -> DataFrame:
 
 def axis_bounds(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     """Plot bounds: 1 and 99 % quantiles of x and z widened by 5 % of their range (z not below 0), y by a tenth."""
-    q = df.agg(quantiles(x, [0.01, 0.99]).alias("x"), quantiles(z, [0.01, 0.99]).alias("z"), quantiles(y, [0.0, 1.0]).alias("y"))
-    pad = lambda c: (F.col(c)[1] - F.col(c)[0]) * 0.05
-    return q.select(
-        (F.col("x")[0] - pad("x")).alias("x_low"), (F.col("x")[1] + pad("x")).alias("x_high"),
-        F.greatest(F.lit(0.1), F.col("y")[0] * 0.9).alias("y_low"), (F.col("y")[1] * 1.1).alias("y_high"),
-        F.greatest(F.lit(0.0), F.col("z")[0] - pad("z")).alias("z_low"), (F.col("z")[1] + pad("z")).alias("z_high"),
+    q = exact_quantiles(df, {x: [0.01, 0.99], z: [0.01, 0.99]})
+    y_ = F.nanvl(F.col(y).cast("double"), F.lit(None).cast("double"))
+    (x0, x1), (z0, z1) = ([_lit(v) for v in q[c]] for c in (x, z))
+    return df.agg(F.min(y_).alias("y0"), F.max(y_).alias("y1")).select(
+        (x0 - (x1 - x0) * 0.05).alias("x_low"), (x1 + (x1 - x0) * 0.05).alias("x_high"),
+        F.greatest(F.lit(0.1), F.col("y0") * 0.9).alias("y_low"), (F.col("y1") * 1.1).alias("y_high"),
+        F.greatest(F.lit(0.0), z0 - (z1 - z0) * 0.05).alias("z_low"), (z1 + (z1 - z0) * 0.05).alias("z_high"),
     )
 
 
 def viewer_bounds(df: DataFrame, x: str, tenor_years: str, iv: str) -> DataFrame:
     """Bounds of the trade viewer: 5 and 95 % quantiles of x and IV widened by 10 % (IV not below 0); log10 of tenors from a day."""
-    q = df.agg(quantiles(x, [0.05, 0.95]).alias("x"), quantiles(iv, [0.05, 0.95]).alias("z"), quantiles(tenor_years, [0.05, 0.95]).alias("t"))
-    pad = lambda c: (F.col(c)[1] - F.col(c)[0]) * 0.1
-    return q.select(
-        (F.col("x")[0] - pad("x")).alias("x_low"), (F.col("x")[1] + pad("x")).alias("x_high"),
-        F.greatest(F.lit(0.0), F.col("z")[0] - pad("z")).alias("z_low"), (F.col("z")[1] + pad("z")).alias("z_high"),
-        F.log10(F.greatest(F.lit(1 / 365), F.col("t")[0])).alias("log_t_low"), F.log10(F.greatest(F.lit(1 / 365), F.col("t")[1])).alias("log_t_high"),
+    q = exact_quantiles(df, {c: [0.05, 0.95] for c in (x, iv, tenor_years)})
+    (x0, x1), (z0, z1), (t0, t1) = ([_lit(v) for v in q[c]] for c in (x, iv, tenor_years))
+    return df.sparkSession.range(1).select(
+        (x0 - (x1 - x0) * 0.1).alias("x_low"), (x1 + (x1 - x0) * 0.1).alias("x_high"),
+        F.greatest(F.lit(0.0), z0 - (z1 - z0) * 0.1).alias("z_low"), (z1 + (z1 - z0) * 0.1).alias("z_high"),
+        F.log10(F.greatest(F.lit(1 / 365), t0)).alias("log_t_low"), F.log10(F.greatest(F.lit(1 / 365), t1)).alias("log_t_high"),
     )
 
 
@@ -205,13 +278,12 @@ def enough(df: DataFrame, group: str, least: int = 3) -> DataFrame:
 
 
 def middle_time(df: DataFrame, time: str) -> DataFrame:
-    """Middle one of the sorted distinct times (the later of two), by two counts instead of one big array."""
-    times = df.select(time).where(F.col(time).isNotNull()).distinct()
-    n = times.count()
+    """Middle one of the sorted distinct times (the later of two), by histograms instead of one big array.  Times are integers."""
+    times = df.select(F.col(time).cast("bigint").alias(time)).where(F.col(time).isNotNull()).distinct()
+    n, low, high = times.agg(F.count(F.lit(1)), F.min(time), F.max(time)).first()
     if not n:
         return times.select(F.col(time).alias("middle"))
-    # The (n // 2)-th value from below is a discrete percentile.
-    return times.agg(F.expr(f"percentile_disc({(n // 2 + 0.5) / n}) WITHIN GROUP (ORDER BY {time})").cast(times.schema[0].dataType).alias("middle"))
+    return df.sparkSession.range(1).select(F.lit(ranked(times, time, [n // 2], n, low, high)[n // 2]).cast("bigint").alias("middle"))
 
 
 def every_nth(df: DataFrame, order: str, n: int = 10, first: int = 100) -> DataFrame:

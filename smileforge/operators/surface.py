@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.black76 import black76_implied_volatility, implied_volatility_solution, log_moneyness
 from ..functions.scalars import finite, tenor_days, tenor_years
 from ..functions.symbols import parse_option_instrument, parse_option_name, short_expiry
-from .asof import asof_grid, latest_at
+from .asof import asof_grid, grid_ends, latest_at
 from .orderbook import bin_orderbook, forward_curve, standardize_orderbook_columns, trim_orderbook, with_known_expiry
 
 IV_COLUMNS = ("timestamp", "symbol", "expiry", "strike", "option_type", "mid_price", "forward_price", "tenor_days", "log_moneyness", "implied_vol")
@@ -85,13 +85,9 @@ def compute_iv_at_timestamp(options: DataFrame, futures: DataFrame, at_ms: int,
 def prepare_iv_timeseries(options: DataFrame, futures: DataFrame, time_step_minutes: int = 5, lookback_seconds: int = 21600, risk_free_rate: float = 0.0, coin_price: bool = False) -> DataFrame:
     """As ``compute_iv_at_timestamp`` for a grid of times, with the time as ``ts``; one as-of plan instead of a loop."""
     step, limit = time_step_minutes * 60_000, lookback_seconds * 1000
-    o = asof_grid(options, ["instrument_name"], "timestamp", ["mark_price"], step, limit).where(F.col("mark_price").isNotNull()).withColumnRenamed("age_seconds", "mark_age_seconds").drop("timestamp_right")
-    times = o.select("timestamp").distinct()
-    names = futures.select("instrument_name").distinct()
-    from .asof import asof_join
-
-    f = asof_join(names.crossJoin(F.broadcast(times)), futures, ["instrument_name"], "timestamp", ["price"], limit).where(F.col("price").isNotNull())
-    f = f.withColumn("age_seconds", (F.col("timestamp") - F.col("timestamp_right")) / 1000).drop("timestamp_right")
+    ends = grid_ends(options, "timestamp")
+    grid = lambda df, column: asof_grid(df, ["instrument_name"], "timestamp", [column], step, limit, ends or (0, -1)).where(F.col(column).isNotNull()).drop("timestamp_right")
+    o, f = grid(options, "mark_price").withColumnRenamed("age_seconds", "mark_age_seconds"), grid(futures, "price")
     out = _iv_from_marks(o, f, F.col("timestamp"), ["timestamp"], "mark_price", risk_free_rate, coin_price)
     return out.select(F.col("timestamp").alias("ts"), *_ASOF_COLUMNS)
 

@@ -39,6 +39,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt over all cores where it has fewer partitions, for expressions that cost more than a shuffle of their input."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with ``ms``, epoch milliseconds rounded down."""
     return _t(spark, sf_dir, "events").withColumn("ms", s.to_ms(F.col("ts")))
@@ -95,7 +101,8 @@ def strike_range_by_expiry(spark, sf_dir):
 def _option_symbols(spark, sf_dir) -> DataFrame:
     strike = (F.col("l_quantity") * 1000).cast("bigint").cast("string")
     side = F.when(F.col("l_linenumber") % 2 == 0, "c").otherwise("P")
-    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("BTC-USD-"), F.date_format("l_shipdate", "yyMMdd"), F.lit("-"), strike, F.lit("-"), side, F.lit(".OK")).alias("symbol"))
+    items = _spread(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate"))
+    return items.select("l_orderkey", "l_linenumber", F.concat(F.lit("BTC-USD-"), F.date_format("l_shipdate", "yyMMdd"), F.lit("-"), strike, F.lit("-"), side, F.lit(".OK")).alias("symbol"))
 
 
 _SYMBOLS = """sy AS (SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity,
@@ -408,7 +415,8 @@ def tenor(spark, sf_dir):
 
 def _terms(spark, sf_dir) -> DataFrame:
     """Forward, strike, years, volatility and side from line items."""
-    return _t(spark, sf_dir, "lineitem").select(
+    items = _spread(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_quantity", "l_tax"))
+    return items.select(
         "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("f"), (F.col("l_extendedprice") * (F.lit(0.95) + F.col("l_discount"))).alias("k"),
         (F.lit(0.5) + F.col("l_quantity") / 50).alias("t"), (F.lit(0.2) + F.col("l_tax") * 5).alias("sigma"), F.when(F.col("l_linenumber") % 2 == 0, "C").otherwise("P").alias("side"),
     )

@@ -45,6 +45,43 @@ def test_ties_go_to_the_first_row_read(spark, tmp_path):
     assert sorted((r["symbol"], r["px"]) for r in by_text.collect()) == [("a", 2.0), ("b", 5.0)]
 
 
+@pytest.mark.parametrize("small", [50_000, 3])
+def test_exact_quantiles(spark, monkeypatch, small):
+    """Refined histograms give what a sort gives, with many ties, huge values and hardly any spread."""
+    monkeypatch.setattr(a, "SMALL_BUCKET", small)
+    monkeypatch.setattr(a, "BUCKETS", 7)
+    rng = random.Random(8)
+    x = [rng.choice([0.0, 1.0, rng.random(), 1e9 * rng.random(), 1 + 1e-12 * rng.random()]) for _ in range(400)]
+    df = spark.createDataFrame([(v, 5.0, None) for v in x] + [(None, 5.0, None), (float("nan"), 5.0, None)], "x double, same double, none double")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.501, 0.99, 1.0]
+    got = a.exact_quantiles(df, {"x": shares, "same": [0.3], "none": [0.5]})
+    assert got["x"] == pytest.approx(list(np.quantile(x, shares)), rel=1e-12) and got["same"] == [5.0] and got["none"] == [None]
+    ends = spark.createDataFrame([(float("inf"),), (float("-inf"),), *[(float(k),) for k in range(20)]], "x double")
+    assert a.exact_quantiles(ends, {"x": [0.0, 0.5, 1.0]})["x"] == [float("-inf"), 9.5, float("inf")]
+    times = spark.createDataFrame([(t,) for t in [5, 5, 1, 9, 7, None]], "t long")
+    assert a.middle_time(times, "t").first()["middle"] == 7 and a.middle_time(times.where("false"), "t").count() == 0
+
+
+def test_grid_equals_slow_model(spark):
+    rng = random.Random(13)
+    rows = [(rng.choice("ab"), rng.randrange(1000), rng.choice([None, rng.random()])) for _ in range(80)]
+    step, limit = 50, 120
+    times = [t for _, t, _ in rows]
+    grid = list(range(min(times), max(times) + step, step))
+    want = {}
+    for k in "ab":
+        for g in grid:
+            mine = [(t, v) for kk, t, v in rows if kk == k and g - limit <= t <= g]
+            if mine:
+                values = [(t, v) for t, v in mine if v is not None]
+                newest = max(t for t, _ in values) if values else None
+                want[k, g] = (max(t for t, _ in mine), {v for t, v in values if t == newest} or {None})
+    got = {(r["k"], r["t"]): r for r in asof.asof_grid(spark.createDataFrame(rows, "k string, t long, v double"), ["k"], "t", ["v"], step, limit).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[x]["t_right"] == want[x][0] and got[x]["v"] in want[x][1] and got[x]["age_seconds"] == (x[1] - want[x][0]) / 1000 for x in want)
+    assert asof.asof_grid(spark.createDataFrame([], "k string, t long, v double"), ["k"], "t", ["v"], step, limit).count() == 0
+
+
 def test_summaries(spark):
     df = spark.createDataFrame([(1, "ab"), (1, None), (None, "c"), (None, None)], "k int, s string")
     assert a.largest_group(df, ["k"]).first()["n"] == 2
