@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import hold, table, trimmed
+from .common import hold, spread, table, trimmed
 
 VOCABULARY = "byte_bpe_50k.json"
 _SPACES = r"\t-\r \x85\xa0  -     　"
@@ -259,4 +259,4 @@ def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of tokens, and digests of ids and of the decoded text, of every document."""
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(spread(table(spark, sf_dir, "documents")))

@@ -22,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table read from files, dealt over all cores where it has fewer partitions than these.
+
+    For kernels that cost far more than a shuffle of their input; a large table
+    has more partitions than cores and stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as the session names it; a temporary one only where it is unset (local runs)."""
     path = spark.conf.get("spark.checkpoint.dir", None)

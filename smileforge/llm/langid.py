@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import Workspace, hold, table, trimmed
+from .common import Workspace, hold, spread, table, trimmed
 from .tokencount import MARK, unigram_scores
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -317,5 +317,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    out = identify(docs, train(docs))
+    out = identify(spread(docs), train(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

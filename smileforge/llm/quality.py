@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import Workspace, hold, table, trimmed
+from .common import Workspace, hold, spread, table, trimmed
 from .wordhash import text_chunks, word_hashes, word_spans
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -90,12 +90,13 @@ class Fertility:
             encode = self.bpe.encode_ordinary
             self.n_ranks.update((w, len(encode(" " + s))) for w, s in zip(part, shown, strict=True))
 
-    def measure(self, words: list[bytes]) -> tuple[int, int, int, float]:
-        """(piece tokens, byte-fallback tokens, rank tokens, entropy of the piece tokens in bits)."""
+    def measure(self, words: list[bytes], known: bool = False) -> tuple[int, int, int, float]:
+        """(piece tokens, byte-fallback tokens, rank tokens, entropy of the piece tokens in bits); ``known``: all words have just been learned."""
         n_ranks, counts = 0, np.zeros(len(self.fallback), np.int64)
         for lo in range(0, len(words), SLICE_WORDS):
             part = words[lo : lo + SLICE_WORDS]
-            self.learn(set(part))
+            if not known:
+                self.learn(set(part))
             counts += np.bincount(np.frombuffer(b"".join(map(self.ids.__getitem__, part)), "<u4"), minlength=len(counts))
             n_ranks += sum(map(self.n_ranks.__getitem__, part))
         seen = counts[counts > 0]
@@ -166,13 +167,16 @@ def rules(docs: DataFrame, bands: dict[str, tuple[float, float, float, float]] =
             for lo, data, offsets in text_chunks(column):
                 starts, ends, rows = word_spans(data, offsets)
                 hashes = word_hashes(data, starts, ends, fold=False)
-                for k in range(len(rows) - 1):
-                    text = column[lo + k].as_py() or ""
-                    words = text.encode().split()
+                texts = [column[lo + k].as_py() or "" for k in range(len(rows) - 1)]
+                split = [text.encode().split() for text in texts]
+                together = len(starts) <= SLICE_WORDS
+                if together:
+                    f.learn(set().union(*split))
+                for k, (text, words) in enumerate(zip(texts, split, strict=True)):
                     n = len(words)
                     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
                     repeat = repeated_words(hashes[rows[k] : rows[k + 1]])
-                    pieces, fallback, ranks, entropy = f.measure(words)
+                    pieces, fallback, ranks, entropy = f.measure(words, together)
                     kind = script(text)
                     failed = n < MIN_WORDS or 100 * repeat > MAX_REPEATED_PERCENT * n
                     a, b, c = (chars / pieces, chars / ranks, fallback / pieces) if n else (0.0, 0.0, 0.0)
@@ -243,4 +247,4 @@ def fitted_rules(docs: DataFrame, lang: str = "lang") -> DataFrame:
 
 def op1_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, fertility and verdict of every document, with fences fitted on the table."""
-    return fitted_rules(table(spark, sf_dir, "documents"))
+    return fitted_rules(spread(table(spark, sf_dir, "documents")))

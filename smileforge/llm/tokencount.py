@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import vocabulary_path
-from .common import hold, table, trimmed
+from .common import hold, spread, table, trimmed
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -146,4 +146,4 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and unigram tokens of every document."""
-    return token_counts(table(spark, sf_dir, "documents"))
+    return token_counts(spread(table(spark, sf_dir, "documents")))

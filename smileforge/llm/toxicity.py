@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hold, table, trimmed
+from .common import hold, spread, table, trimmed
 from .langid import held_out
 
 #: Labelled documents of either kind that the model is fitted on, about; chosen by a hash of the id.
@@ -221,5 +221,5 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = PREDICT_FROM) -> Da
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labelled ones that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    out = scores(docs, train(docs, table(spark, sf_dir, "labels")))
+    out = scores(spread(docs), train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
