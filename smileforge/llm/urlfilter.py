@@ -25,6 +25,31 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
+#: Words by label (1: block), of which labelled URLs are made.
+TOPICS = {
+    0: ("news", "wiki", "library", "museum", "garden", "recipes", "science", "school", "music", "maps", "health", "forum", "travel", "weather", "history", "sports", "books", "city", "docs", "code", "blog", "university"),
+    1: ("casino", "poker", "jackpot", "slots", "betting", "viagra", "pills", "pharma", "porn", "xxx", "sex", "cams", "warez", "crack", "keygen", "torrent", "malware", "phishing", "payday", "replica", "backlinks", "clickbait"),
+}
+
+
+#: Parts of the invented names of sites about nothing in particular.
+SYLLABLES = ("ka", "lo", "mi", "tor", "ven", "shi", "ru", "den", "bal", "ner", "so", "pi", "gra", "fel", "um", "tha", "ing", "est", "or")
+NEUTRAL_SITES = 120
+
+
+def topic_urls() -> tuple[tuple[str, int], ...]:
+    """Three URLs a topic, alike for both labels: only the words tell them apart; and sites of invented names, which are allowed."""
+    out = []
+    for k in range(NEUTRAL_SITES):
+        name = "".join(SYLLABLES[(k * step + k // 7) % len(SYLLABLES)] for step in (1, 5, 11)[: 2 + k % 2])
+        out.append((f"http{'s' * (k % 2)}://{('', 'www.', 'm.', 'blog.')[k % 4]}{name}.example.{('com', 'org', 'net')[k % 3]}/{('en', 'de', 'fr', 'es')[k // 3 % 4]}/{997 * (k + 2) % 20_011}{('', '.html', '/')[k // 4 % 3]}", 0))
+    for label, words in TOPICS.items():
+        for k, word in enumerate(words):
+            other, end, lang, number = words[(k + 5) % len(words)], ("com", "org", "net")[k % 3], ("en", "de", "fr", "es")[k % 4], 1009 * (k + 3) % 20_011
+            out += [(f"https://{word}.example.{end}/{lang}/{number}", label), (f"http://www.example.{end}/{word}/{other}", label), (f"https://{word}-{other}.example.{end}/{lang}/{number}.html", label)]
+    return tuple(out)
+
+
 #: Labelled URLs (1: block).  Invented hosts under reserved names.
 LABELLED_URLS = (
     ("https://news.example.com/fr/4711.html", 0), ("https://blog.example.com/de/15882", 0),
@@ -50,10 +75,11 @@ LABELLED_URLS = (
     ("http://payday-loans.example.net/apply/fast-cash", 1), ("https://sex-dating.example.com/join/free", 1),
     ("http://poker-online.example.org/bet/bonus", 1), ("https://betting-tips.example.net/win/odds", 1),
     ("http://clickbait.example.com/you-wont-believe/ads", 1), ("https://malware-update.example.org/flash-player.exe", 1),
+    *topic_urls(),
 )
 BUCKETS = 1 << 14
 SIZES = (3, 4, 5)
-PENALTY = 1e-3
+PENALTY = 1e-4
 BLOCK_FROM = 0.5
 
 
@@ -106,7 +132,7 @@ class Model:
         return float(1 / (1 + np.exp(-z)))
 
 
-def fit(urls=LABELLED_URLS, rounds: int = 400, rate: float = 2.0) -> Model:
+def fit(urls=LABELLED_URLS, rounds: int = 2000, rate: float = 2.0) -> Model:
     """Gradient descent over the labelled table; deterministic.  Without labels of both kinds nothing is blocked."""
     y = np.array([label for _, label in urls], float)
     if len(set(y)) < 2:

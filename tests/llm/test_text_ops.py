@@ -368,3 +368,13 @@ def test_url_model_fits_its_table():
     m = urlfilter.fit()
     assert all((m.score(*urlfilter.split_url(u)) >= 0.5) == bool(y) for u, y in urlfilter.LABELLED_URLS)
     assert m.score(*urlfilter.split_url("http://best-casino-bonus.example.org/win/jackpot")) > 0.5 > m.score(*urlfilter.split_url("https://wiki.example.org/en/Geometry"))
+
+
+def test_url_model_on_held_out_folds():
+    right, of = [0, 0], [0, 0]
+    for fold in range(5):
+        m = urlfilter.fit([x for i, x in enumerate(urlfilter.LABELLED_URLS) if i % 5 != fold])
+        for url, y in urlfilter.LABELLED_URLS[fold::5]:
+            of[y] += 1
+            right[y] += (m.score(*urlfilter.split_url(url)) >= 0.5) == bool(y)
+    assert right[0] / of[0] >= 0.98 and right[1] / of[1] >= 0.75
