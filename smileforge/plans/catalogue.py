@@ -62,11 +62,11 @@ def _day(c: str = "l_shipdate"):
 
 
 @_query("""
-SELECT l_shipdate AS expiry, round(sum(l_quantity), 2) AS volume, round(sum(l_quantity * l_extendedprice), 0) AS value
+SELECT l_shipdate AS expiry, round(sum(l_quantity), 2) AS volume, round(sum(l_quantity * l_extendedprice), 2) AS value
 FROM lineitem GROUP BY l_shipdate ORDER BY sum(l_quantity) DESC, l_shipdate LIMIT 10""")
 def volume_by_expiry_top10(spark, sf_dir):
     out = a.volume_by(_t(spark, sf_dir, "lineitem"), "l_shipdate", "l_quantity", "l_extendedprice")
-    return out.select(F.col("l_shipdate").alias("expiry"), F.round("volume", 2).alias("volume"), F.round("value", 0).alias("value"))
+    return out.select(F.col("l_shipdate").alias("expiry"), F.round("volume", 2).alias("volume"), F.round("value", 2).alias("value"))
 
 
 @_query("""
@@ -746,11 +746,11 @@ def number_labels(spark, sf_dir):
 WITH h AS (SELECT l_returnflag AS strike, date_trunc('month', l_shipdate) AS hour, l_quantity * l_extendedprice AS v FROM lineitem),
 g AS (SELECT strike, hour FROM (SELECT DISTINCT strike FROM h) CROSS JOIN (SELECT DISTINCT hour FROM h)),
 c AS (SELECT g.strike, g.hour, coalesce(sum(v), 0) AS value FROM g LEFT JOIN h USING (strike, hour) GROUP BY ALL)
-SELECT strike, hour, round(value, 0) AS value, round(avg(value) OVER (PARTITION BY strike ORDER BY hour ROWS 2 PRECEDING), 0) AS rolling FROM c""")
+SELECT strike, hour, round(value, 2) AS value, round(avg(value) OVER (PARTITION BY strike ORDER BY hour ROWS 2 PRECEDING), 3) AS rolling FROM c""")
 def value_pivot_rolling3(spark, sf_dir):
     h = _t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("strike"), F.date_trunc("month", F.col("l_shipdate")).cast("timestamp_ntz").alias("hour"), F.col("l_quantity").alias("amount"), F.col("l_extendedprice").alias("price"))
     out = a.create_value_pivot(h)
-    return out.select("strike", "hour", F.round("value", 0).alias("value"), F.round("rolling", 0).alias("rolling"))
+    return out.select("strike", "hour", F.round("value", 2).alias("value"), F.round("rolling", 3).alias("rolling"))
 
 
 @_query("""
