@@ -105,7 +105,10 @@ def trade_iv(trades: DataFrame, futures: DataFrame, center_ms: int, window_minut
 
 
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles (rows of point numbers) of distinct points, by incremental insertion."""
+    """Triangles (rows of point numbers) of distinct points, by incremental insertion from left to right.
+
+    A triangle whose circle lies left of the sweep is final and no longer looked at.
+    """
     n = len(points)
     center = points.mean(axis=0)
     span = max(float(np.ptp(points, axis=0).max()), 1e-12)
@@ -124,7 +127,12 @@ def delaunay(points: np.ndarray) -> np.ndarray:
         return o + center, ((a - o) ** 2).sum(axis=1)
 
     middle, radius = circle(triangles)
-    for i in range(n):
+    final = []
+    for i in np.argsort(points[:, 0], kind="stable"):
+        past = middle[:, 0] + np.sqrt(radius) < p[i, 0] - 1e-9 * span
+        if past.sum() > 32:
+            final.append(triangles[past])
+            triangles, middle, radius = triangles[~past], middle[~past], radius[~past]
         bad = ((middle - p[i]) ** 2).sum(axis=1) < radius * (1 + 1e-12)
         gone = triangles[bad]
         edges = np.vstack([gone[:, [0, 1]], gone[:, [1, 2]], gone[:, [2, 0]]])
@@ -136,6 +144,7 @@ def delaunay(points: np.ndarray) -> np.ndarray:
         new = new[np.abs(area) > 1e-14 * span * span]
         m, r = circle(new)
         triangles, middle, radius = np.vstack([triangles[~bad], new]), np.vstack([middle[~bad], m]), np.concatenate([radius[~bad], r])
+    triangles = np.vstack([*final, triangles])
     return triangles[(triangles < n).all(axis=1)]
 
 
@@ -155,6 +164,32 @@ def _gradients(points: np.ndarray, values: np.ndarray, triangles: np.ndarray) ->
     return np.linalg.solve(m, r[:, :, None])[:, :, 0]
 
 
+def _locate(points: np.ndarray, triangles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``at``: the first triangle that holds it (-1: none) and its barycentric weights there."""
+    owner, weights = np.full(len(at), -1), np.zeros((len(at), 3))
+    rows = max(1, 1_000_000 // max(1, len(at)))
+    for lo in range(0, len(triangles), rows):
+        open_ = np.flatnonzero(owner < 0)
+        if not len(open_):
+            break
+        a, b, c = (points[triangles[lo : lo + rows, k]] for k in range(3))
+        u, w = b - a, c - a
+        det = u[:, 0] * w[:, 1] - w[:, 0] * u[:, 1]
+        flat = np.abs(det) < 1e-14
+        det = np.where(flat, np.nan, det)[:, None]
+        x, y = (at[open_, k][None, :] - a[:, k : k + 1] for k in range(2))
+        l1 = (x * w[:, 1:] - y * w[:, :1]) / det
+        l2 = (y * u[:, :1] - x * u[:, 1:]) / det
+        with np.errstate(invalid="ignore"):
+            holds = (l1 >= -1e-9) & (l2 >= -1e-9) & (1 - l1 - l2 >= -1e-9)
+        found = holds.any(axis=0)
+        which, where = holds.argmax(axis=0)[found], np.flatnonzero(found)
+        owner[open_[where]] = lo + which
+        m1, m2 = l1[which, where], l2[which, where]
+        weights[open_[where]] = np.stack([1 - m1 - m2, m1, m2], axis=1)
+    return owner, weights
+
+
 def interpolate(points: np.ndarray, values: np.ndarray, at: np.ndarray, cubic: bool = True) -> np.ndarray:
     """Values at ``at`` from scattered data; NaN outside the hull.
 
@@ -176,25 +211,19 @@ def interpolate(points: np.ndarray, values: np.ndarray, at: np.ndarray, cubic: b
     if not len(triangles):
         return out
     g = _gradients(points, values, triangles) if cubic else None
-    for t in triangles:
-        a, b, c = points[t]
-        m = np.array([[b[0] - a[0], c[0] - a[0]], [b[1] - a[1], c[1] - a[1]]])
-        if abs(np.linalg.det(m)) < 1e-14:
-            continue
-        l12 = np.linalg.solve(m, (at - a).T)
-        l = np.vstack([1 - l12.sum(axis=0), l12])  # noqa: E741
-        inside = np.flatnonzero((l >= -1e-9).all(axis=0) & np.isnan(out))
-        if not len(inside):
-            continue
-        l = l[:, inside]  # noqa: E741
-        v = values[t] @ l
-        if cubic:
-            for i, j in ((0, 1), (1, 2), (2, 0)):
-                e = points[t[j]] - points[t[i]]
-                rise = values[t[j]] - values[t[i]]
-                si, sj = g[t[i]] @ e - rise, rise - g[t[j]] @ e
-                v = v + l[i] * l[j] * (l[i] * si + l[j] * sj)
-        out[inside] = v
+    owner, weights = _locate(points, triangles, at)
+    inside = np.flatnonzero(owner >= 0)
+    if not len(inside):
+        return out
+    t, l = triangles[owner[inside]].T, weights[inside].T  # noqa: E741
+    v = (values[t] * l).sum(axis=0)
+    if cubic:
+        for i, j in ((0, 1), (1, 2), (2, 0)):
+            e = points[t[j]] - points[t[i]]
+            rise = values[t[j]] - values[t[i]]
+            si, sj = (g[t[i]] * e).sum(axis=1) - rise, rise - (g[t[j]] * e).sum(axis=1)
+            v = v + l[i] * l[j] * (l[i] * si + l[j] * sj)
+    out[inside] = v
     return out
 
 
