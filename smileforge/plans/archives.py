@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import black76 as b76
+from ..operators.surface import construct_iv_surface
 from ..sources import archive, trades
 from ..sources.history import construct_iv_surface_from_archive
 
@@ -64,8 +65,8 @@ def _spread(key):
     return F.lit(DAY_MS) + key * 7919 % 86_400_000
 
 
-def book_files(spark: SparkSession, sf_dir: str, folder: str) -> list[str]:
-    """Order books of one day: options from lineitem with a known volatility, futures from orders, and a family that is not asked for."""
+def books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Order books of one day, each with the name of its instrument as ``file``: options from lineitem with a known volatility, raw futures from orders."""
     c = F.col
     item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     k = c("l_linenumber") % 4
@@ -81,10 +82,26 @@ def book_files(spark: SparkSession, sf_dir: str, folder: str) -> list[str]:
     at = (c("o_orderkey") % 3).cast("int")
     futures = o.select(_spread(c("o_orderkey") * 8).alias("timeMs"), *[(F.lit(100000.0) + at * 1000 + d).alias(n) if d else F.lit(1).alias(n) for n, d in (("askPx1", 10), ("askSz1", 0), ("askCnt1", 0), ("bidPx1", -10), ("bidSz1", 0), ("bidCnt1", 0))],
         F.concat(F.lit("BTC-USD-"), F.element_at(F.array(*[F.lit(x) for x in EXPIRIES[:3]]), at + 1)).alias("file"))
+    return options, futures
+
+
+def book_files(spark: SparkSession, sf_dir: str, folder: str) -> list[str]:
+    """The books as files, and a future of a family that is not asked for."""
+    options, futures = books(spark, sf_dir)
     other = futures.where("file = 'BTC-USD-250131'").withColumn("file", F.lit("BTC-USDC-250131"))
     return write_files(options, f"{folder}/options", "file") + write_files(futures.unionByName(other), f"{folder}/futures", "file")
 
 
+def _points(iv: DataFrame) -> DataFrame:
+    return iv.select("timestamp", "symbol", F.col("expiry").cast("timestamp_ntz").alias("expiry"), "strike", "option_type", "forward_price", F.round("tenor_days", 9).alias("tenor_days"), F.round("implied_vol", 4).alias("implied_vol"))
+
+
+def book_iv_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From frames of books to IV points: options of expiries without a future leave by a semi join."""
+    options, futures = books(spark, sf_dir)
+    return _points(construct_iv_surface(options.drop("file"), futures.withColumnRenamed("file", "symbol"), "5min"))
+
+
 def archive_iv_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From an index of gzip books to IV points: futures of one family, options of known expiries, last two-sided quote of a bin."""
     folder = scratch(spark)
@@ -96,7 +113,7 @@ def archive_iv_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.createDataFrame([(reply,)], "value string").coalesce(1).write.text(f"{folder}/index-{kind}-{DAY_MS}")
         lister[kind] = archive.index_lister(spark, f"{folder}/index-{kind}-{{begin}}")
     out = construct_iv_surface_from_archive(spark, folder, "BTC-USD", DAY, 1, 5, file_depth=1, lister=lister["futures"], options_lister=lister["options"])
-    return out.select("timestamp", "symbol", F.col("expiry").cast("timestamp_ntz").alias("expiry"), "strike", "option_type", "forward_price", F.round("tenor_days", 9).alias("tenor_days"), F.round("implied_vol", 4).alias("implied_vol"))
+    return _points(out)
 
 
 _AT = f"{DAY_MS} + (l_orderkey * 8 + l_linenumber) * 7919 % 86400000"
@@ -137,5 +154,5 @@ def trade_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRADE_PAGES_SQL = "SELECT event_id::VARCHAR AS trade_id, event_id AS timestamp, user_id::VARCHAR AS instrument_name, value AS price FROM events"
 
-QUERIES = {"archive_iv_surface": archive_iv_surface, "archive_candles": archive_candles, "trade_pages": trade_pages}
-ORACLE_SQL = {"archive_iv_surface": ARCHIVE_IV_SQL, "archive_candles": ARCHIVE_CANDLES_SQL, "trade_pages": TRADE_PAGES_SQL}
+QUERIES = {"archive_iv_surface": archive_iv_surface, "book_iv_surface": book_iv_surface, "archive_candles": archive_candles, "trade_pages": trade_pages}
+ORACLE_SQL = {"archive_iv_surface": ARCHIVE_IV_SQL, "book_iv_surface": ARCHIVE_IV_SQL, "archive_candles": ARCHIVE_CANDLES_SQL, "trade_pages": TRADE_PAGES_SQL}

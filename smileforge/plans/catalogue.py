@@ -19,7 +19,7 @@ from ..functions import symbols as sym
 from ..operators import analytics as a
 from ..operators import asof, orderbook, plots, surface
 from ..sources.planner import create_date_chunks
-from . import archives
+from . import archives, streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -774,5 +774,5 @@ def date_chunks(spark, sf_dir):
     return spark.createDataFrame(create_date_chunks(date(2025, 1, 1), date(2025, 3, 1), 1), "begin_ms bigint, end_ms bigint")
 
 
-QUERIES |= archives.QUERIES
-ORACLE_SQL |= archives.ORACLE_SQL
+QUERIES |= archives.QUERIES | streams.QUERIES
+ORACLE_SQL |= archives.ORACLE_SQL | streams.ORACLE_SQL

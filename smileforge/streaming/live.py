@@ -18,10 +18,18 @@ def dedup(stream: DataFrame, time: str, key: str, delay: str = "10 minutes") ->
 
 
 def around(trades: DataFrame, centers: DataFrame, minutes: int = 10, delay: str = "20 minutes") -> DataFrame:
-    """Trades within minutes of other events: an interval join of two streams (ts, center)."""
-    t = trades.withWatermark("ts", delay)
-    c = centers.withWatermark("center", delay)
-    return t.join(c, F.expr(f"ts BETWEEN center - INTERVAL {minutes} MINUTES AND center + INTERVAL {minutes} MINUTES"))
+    """Trades within minutes of other events: an interval join of two streams (ts, center).
+
+    Streams join on an equality, which time buckets give; the watermarks and the
+    interval bound the state.
+    """
+    half = minutes * 60
+    bucket = lambda seconds: F.floor(seconds / (2 * half))
+    at = F.unix_seconds("center")
+    t = trades.withWatermark("ts", delay).withColumn("__b", bucket(F.unix_seconds("ts")))
+    c = centers.withWatermark("center", delay).withColumn("__c", F.explode(F.sequence(bucket(at - half), bucket(at + half))))
+    inside = F.expr(f"__b = __c AND ts BETWEEN center - INTERVAL {minutes} MINUTES AND center + INTERVAL {minutes} MINUTES")
+    return t.join(c, inside).drop("__b", "__c")
 
 
 def sliding_mean(stream: DataFrame, time: str, key: str, value: str, width: str = "3 hours", step: str = "1 hour", delay: str = "1 hour") -> DataFrame:
