@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, fresh, join_side, table
+from .urlfilter import host_and_path
 
 #: A line is boilerplate if it is on more than this share of its host's pages,
 MAX_RATIO = 0.08
@@ -94,6 +95,14 @@ def op2_line_dedup_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op2_line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the host of its url; what stands between two tags is a line (a null html has none)."""
+    pages = table(spark, sf_dir, "pages")
+    lines = F.regexp_replace("html", "<[^>]*>", "\n")
+    out = drop_boilerplate(pages.select("page_id", host_and_path(F.col("url"))[0].alias("host"), lines.alias("text")), host="host")
+    return out.select("page_id", "host", "n_lines", "n_dropped", "text")
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT r, source, unnest(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS line FROM d),
@@ -127,3 +136,9 @@ SELECT doc_id, source, coalesce(len(lines), 0)::BIGINT AS n_lines,
        (coalesce(len(lines), 0) - coalesce(len(kept), 0))::BIGINT AS n_dropped,
        CASE WHEN text IS NULL THEN NULL WHEN len(kept) = 0 THEN '' ELSE array_to_string(kept, chr(10)) END AS text FROM k
 """
+
+OP2_PAGES_SQL = OP2_SQL.replace(
+    "SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents",
+    "SELECT *, string_split(text, chr(10)) AS lines FROM (SELECT row_number() OVER () AS r, page_id, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS text, "
+    "translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS source FROM pages)",
+).replace("SELECT doc_id, source, coalesce(len(lines)", "SELECT page_id, source AS host, coalesce(len(lines)")
