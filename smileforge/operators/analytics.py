@@ -203,8 +203,8 @@ def create_value_pivot(df: DataFrame, width: int = 3) -> DataFrame:
     return rolling_mean(dense_cells(df, "strike", "hour", F.col("amount") * F.col("price")), "strike", "hour", width)
 
 
-#: Columns that a wide table may have.
-MAX_COLUMNS = 10_000
+#: Columns that a wide table may have, and strikes of a ladder.
+MAX_COLUMNS, MAX_STRIKES = 10_000, 10_000
 
 
 def wide(cells: DataFrame, row: str, column: str, value: str = "rolling") -> DataFrame:
@@ -218,9 +218,13 @@ def wide(cells: DataFrame, row: str, column: str, value: str = "rolling") -> Dat
 def strike_rank(points: DataFrame, price: str, strikes: DataFrame, strike: str = "strike") -> DataFrame:
     """Number of strikes below a price, and its row in a heat map that has the highest strike on top.
 
-    The distinct strikes, a few hundred, travel as one sorted array.
+    The distinct strikes, a few hundred, travel as one sorted array; more than
+    MAX_STRIKES are an error.
     """
-    ladder = strikes.select(strike).distinct().agg(F.array_sort(F.collect_list(strike)).alias("__ladder"))
+    distinct = strikes.select(strike).distinct()
+    if distinct.limit(MAX_STRIKES + 1).count() > MAX_STRIKES:
+        raise ValueError(f"more than {MAX_STRIKES} strikes")
+    ladder = distinct.agg(F.array_sort(F.collect_list(strike)).alias("__ladder"))
     below = F.size(F.filter("__ladder", lambda k: k < F.col(price)))
     return points.crossJoin(F.broadcast(ladder)).withColumns({"n_below": below, "y": F.size("__ladder") - 1 - below}).drop("__ladder")
 

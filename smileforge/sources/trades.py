@@ -30,10 +30,17 @@ def dedup_trades(trades: DataFrame) -> DataFrame:
     return keep_first(trades, "trade_id", [F.col("timestamp"), F.xxhash64(*trades.columns)])
 
 
-def read_instruments(spark: SparkSession, path: str) -> DataFrame:
+def read_instruments(spark: SparkSession, path: str, currency: str | None = None, kind: str | None = None) -> DataFrame:
+    """Saved instrument lists, of one currency and of one kind (option or future) where asked for."""
     schema = f"result array<struct<{', '.join(x.replace(' ', ': ') for x in schemas.INSTRUMENTS.split(', '))}>>"
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    return raw.select(F.explode("result").alias("i")).select("i.*")
+    out = raw.select(F.explode("result").alias("i")).select("i.*")
+    name = F.col("instrument_name")
+    if currency:
+        out = out.where(name.startswith(f"{currency}-"))
+    if kind:
+        out = out.where(F.size(F.split(name, "-")) == {"option": 4, "future": 2}[kind])
+    return out
 
 
 #: page(key, start, end, count) -> (rows, has_more)

@@ -76,6 +76,9 @@ def test_index_and_pages(spark, tmp_path):
     assert sorted(r["trade_id"] for r in trades.read_pages(spark, str(tmp_path / "p*.json")).collect()) == ["1", "2", "3"]
     (tmp_path / "i.json").write_text(json.dumps({"result": [{"instrument_name": "a", "expiration_timestamp": 5}]}))
     assert trades.read_instruments(spark, str(tmp_path / "i.json")).first()["expiration_timestamp"] == 5
+    (tmp_path / "k.json").write_text(json.dumps({"result": [{"instrument_name": n, "expiration_timestamp": 5} for n in ("BTC-31OCT25", "BTC-31OCT25-1-C", "ETH-31OCT25")]}))
+    names = lambda *a: sorted(r["instrument_name"] for r in trades.read_instruments(spark, str(tmp_path / "k.json"), *a).collect())
+    assert names("BTC") == ["BTC-31OCT25", "BTC-31OCT25-1-C"] and names("BTC", "option") == ["BTC-31OCT25-1-C"] and names(None, "future") == ["BTC-31OCT25", "ETH-31OCT25"]
 
 
 DATA = [{"trade_id": str(i), "timestamp": i // 3, "instrument_name": "x", "price": float(i)} for i in range(40)]
