@@ -15,9 +15,12 @@ from .common import Workspace, fresh, join_side, table
 from .urlfilter import host_and_path
 
 #: A line is boilerplate if it is on more than this share of its host's pages,
-MAX_RATIO = 0.08
+MAX_RATIO = 0.01
 #: and on at least so many of them (a host of few pages says nothing about its lines).
 MIN_PAGES = 5
+#: The share where a host's pages are also taken by language, and where near-dedup follows: a text with
+#: many copies on a host must still reach it whole.
+LANGUAGE_RATIO = 0.08
 #: Boilerplate lines of all hosts up to which their hashes (16 bytes each) are broadcast; more are joined by host and salt.
 BROADCAST_LINES = 500_000
 _BLANK = r"^[\x20\x09-\x0D]*$"
@@ -91,7 +94,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As above; boilerplate of a source's texts in one language goes as well."""
-    out = drop_boilerplate(table(spark, sf_dir, "documents"), part="lang")
+    out = drop_boilerplate(table(spark, sf_dir, "documents"), max_ratio=LANGUAGE_RATIO, part="lang")
     return out.select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
@@ -110,7 +113,7 @@ p AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
 b AS (SELECT l.source, list(line) AS bad FROM
         (SELECT source, line, count(*) AS n FROM l GROUP BY source, line) l
         JOIN p ON l.source IS NOT DISTINCT FROM p.source
-      WHERE n >= 5 AND n > 0.08::DOUBLE * pages GROUP BY l.source),
+      WHERE n >= 5 AND n > 0.01::DOUBLE * pages GROUP BY l.source),
 k AS (SELECT d.*, list_filter(lines, lambda x: NOT coalesce(list_contains(bad, x), false)) AS kept
       FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, source, coalesce(len(lines), 0)::BIGINT AS n_lines,

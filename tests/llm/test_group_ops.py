@@ -40,6 +40,12 @@ def test_lines(spark, monkeypatch, bound):
     assert out[0]["host_"] == 1 and linededup.drop_boilerplate(df.where("false")).count() == 0
 
 
+def test_lines_on_two_in_a_hundred_pages(spark):
+    rows = [(i, f"unique {i}\nads" if i < 20 else f"unique {i}\ncommon" if i < 30 else f"unique {i}", "a") for i in range(1000)]
+    out = {r["doc_id"]: r["text"] for r in linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[0] == "unique 0" and out[20] == "unique 20\ncommon"  # exactly 1 % is not above the ratio
+
+
 def test_lines_of_minority_languages(spark):
     import corpus_pipeline as cp
 
