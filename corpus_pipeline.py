@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source, or of a source's texts in one language, leave its texts; n_chars, where there is one, follows the text."""
-    out = linededup.drop_boilerplate(docs, part="lang", counts=False)
+    out = linededup.drop_boilerplate(docs, max_ratio=linededup.LANGUAGE_RATIO, part="lang", counts=False)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
