@@ -105,63 +105,160 @@ def trade_iv(trades: DataFrame, futures: DataFrame, center_ms: int, window_minut
 
 
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles (rows of point numbers) of distinct points, by incremental insertion from left to right.
+    """Triangles (rows of point numbers) of distinct points, by insertion along the longer axis.
 
-    A triangle whose circle lies left of the sweep is final and no longer looked at.
+    Edges of the hull are held as triangles with a point at infinity (number n),
+    whose circle is the half-plane beyond the edge, so hull points in line or
+    axes of very different scale lose nothing.  A triangle whose circle lies
+    behind the sweep is final and no longer looked at.  Points on one line have
+    no triangles.
     """
-    n = len(points)
-    center = points.mean(axis=0)
-    span = max(float(np.ptp(points, axis=0).max()), 1e-12)
-    far = center + span * np.array([[-1e4, -1e4], [1e4, -1e4], [0.0, 1.5e4]])
-    p = np.vstack([points, far])
-    triangles = np.array([[n, n + 1, n + 2]])
-
-    def circle(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b, c = (p[t[:, k]] - center for k in range(3))
-        d = 2 * (a[:, 0] * (b[:, 1] - c[:, 1]) + b[:, 0] * (c[:, 1] - a[:, 1]) + c[:, 0] * (a[:, 1] - b[:, 1]))
-        d = np.where(np.abs(d) < 1e-300, 1e-300, d)
-        sa, sb, sc = ((x * x).sum(axis=1) for x in (a, b, c))
-        ux = (sa * (b[:, 1] - c[:, 1]) + sb * (c[:, 1] - a[:, 1]) + sc * (a[:, 1] - b[:, 1])) / d
-        uy = (sa * (c[:, 0] - b[:, 0]) + sb * (a[:, 0] - c[:, 0]) + sc * (b[:, 0] - a[:, 0])) / d
-        o = np.stack([ux, uy], axis=1)
-        return o + center, ((a - o) ** 2).sum(axis=1)
-
-    middle, radius = circle(triangles)
+    n, none = len(points), np.zeros((0, 3), int)
+    if n < 3:
+        return none
+    p = points - points.mean(axis=0)
+    span = max(float(np.ptp(p, axis=0).max()), 1e-300)
+    along = int(np.argmax(np.ptp(p, axis=0)))
+    order = np.lexsort((p[:, 1 - along], p[:, along]))
+    first, second = order[:2]
+    off = np.abs(_turn(p[first], p[second], p[order]))
+    third = np.flatnonzero(off > 1e-13 * span * np.hypot(*(p[order] - p[first]).T))
+    if not len(third):
+        return none
+    start = np.array([first, second, order[third[0]]])
+    inside = p[start].mean(axis=0)
+    triangles, ends = start[None, :], np.array([_front(p[start][None], along)[0]])
+    hull = np.array([[start[0], start[1]], [start[1], start[2]], [start[0], start[2]]])
     final = []
-    for i in np.argsort(points[:, 0], kind="stable"):
-        past = middle[:, 0] + np.sqrt(radius) < p[i, 0] - 1e-9 * span
+    for i in order:
+        if i in start:
+            continue
+        past = ends < p[i, along] - 1e-9 * span
         if past.sum() > 32:
             final.append(triangles[past])
-            triangles, middle, radius = triangles[~past], middle[~past], radius[~past]
-        bad = ((middle - p[i]) ** 2).sum(axis=1) < radius * (1 + 1e-12)
-        gone = triangles[bad]
-        edges = np.vstack([gone[:, [0, 1]], gone[:, [1, 2]], gone[:, [2, 0]]])
-        _, first, count = np.unique(np.sort(edges, axis=1), axis=0, return_index=True, return_counts=True)
-        rim = edges[first[count == 1]]
-        new = np.column_stack([rim, np.full(len(rim), i)])
-        a, b, c = p[new[:, 0]], p[new[:, 1]], p[new[:, 2]]
-        area = (b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])
-        new = new[np.abs(area) > 1e-14 * span * span]
-        m, r = circle(new)
-        triangles, middle, radius = np.vstack([triangles[~bad], new]), np.vstack([middle[~bad], m]), np.concatenate([radius[~bad], r])
-    triangles = np.vstack([*final, triangles])
-    return triangles[(triangles < n).all(axis=1)]
-
-
-def _gradients(points: np.ndarray, values: np.ndarray, triangles: np.ndarray) -> np.ndarray:
-    """Gradient at each point by weighted least squares over its neighbours in the triangulation."""
+            triangles, ends = triangles[~past], ends[~past]
+        bad = _in_circle(p[triangles], p[i])
+        a, b = p[hull[:, 0]], p[hull[:, 1]]
+        side = _turn(a, b, p[i]) * -np.sign(_turn(a, b, inside))
+        length = np.hypot(*(b - a).T)
+        step = ((p[i] - a) * (b - a)).sum(axis=1)
+        level = np.abs(side) <= 1e-14 * span * length
+        seen = np.where(level, (step > 0) & (step < length**2), side > 0)
+        gone, lost = triangles[bad], hull[seen]
+        edges = np.vstack([gone[:, [0, 1]], gone[:, [1, 2]], gone[:, [2, 0]], lost, *(np.column_stack([lost[:, k], np.full(len(lost), n)]) for k in range(2))])
+        edges, count = np.unique(np.sort(edges, axis=1), axis=0, return_counts=True)
+        rim = edges[count == 1]
+        outer = rim[:, 1] == n
+        new = np.column_stack([rim[~outer], np.full((~outer).sum(), i)])
+        hull = np.vstack([hull[~seen], np.column_stack([rim[outer, 0], np.full(outer.sum(), i)])])
+        triangles, ends = np.vstack([triangles[~bad], new]), np.concatenate([ends[~bad], _front(p[new], along)])
+    return np.vstack([*final, triangles])
+
+
+def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Twice the signed area of the triangles a, b, c."""
+    return (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+
+
+def _in_circle(corners: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether ``x`` is inside the circle of each triangle (points on it are not)."""
+    d = corners - x
+    size = (d * d).sum(axis=2)
+    parts = np.stack([size[:, k] * (d[:, (k + 1) % 3, 0] * d[:, (k + 2) % 3, 1] - d[:, (k + 2) % 3, 0] * d[:, (k + 1) % 3, 1]) for k in range(3)])
+    return parts.sum(axis=0) * np.sign(_turn(corners[:, 0], corners[:, 1], corners[:, 2])) > 1e-13 * np.abs(parts).max(axis=0)
+
+
+def _front(corners: np.ndarray, along: int) -> np.ndarray:
+    """The furthest coordinate of the circle of each triangle on one axis; infinite for a flat one."""
+    u, v = corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0]
+    d = 2 * (u[:, 0] * v[:, 1] - v[:, 0] * u[:, 1])
+    su, sv = (u * u).sum(axis=1), (v * v).sum(axis=1)
+    with np.errstate(all="ignore"):
+        o = np.column_stack([(su * v[:, 1] - sv * u[:, 1]) / d, (sv * u[:, 0] - su * v[:, 0]) / d])
+        end = corners[:, 0, along] + o[:, along] + np.hypot(*o.T)
+    return np.where(np.isfinite(end), end, np.inf)
+
+
+def _gradients(points: np.ndarray, values: np.ndarray, triangles: np.ndarray, tolerance: float = 1e-12, rounds: int = 400) -> np.ndarray:
+    """Gradient at each point that makes the cubics along all edges bend least (Nielson 1983).
+
+    On an edge of length L with rise r and slopes u, v along it the bending is
+    4 (u² + uv + v² - 3r (u + v) + 3r²) / L³.  All points are solved for at once
+    from the last values of their neighbours; as an edge couples its ends half
+    as strongly as it holds each, the error halves in every round.
+    """
     n = len(points)
-    a, b = np.concatenate([triangles[:, [0, 1]], triangles[:, [1, 2]], triangles[:, [2, 0]]]).T
-    a, b = np.concatenate([a, b]), np.concatenate([b, a])
-    d, v = points[b] - points[a], values[b] - values[a]
-    w = 1 / np.maximum((d * d).sum(axis=1), 1e-300)
-    m = np.zeros((n, 2, 2))
-    r = np.zeros((n, 2))
-    np.add.at(m, a, w[:, None, None] * d[:, :, None] * d[:, None, :])
-    np.add.at(r, a, (w * v)[:, None] * d)
-    trace = np.trace(m, axis1=1, axis2=2)
-    m += (1e-12 * np.maximum(trace, 1e-300))[:, None, None] * np.eye(2)
-    return np.linalg.solve(m, r[:, :, None])[:, :, 0]
+    edges = np.unique(np.sort(np.concatenate([triangles[:, [0, 1]], triangles[:, [1, 2]], triangles[:, [2, 0]]]), axis=1), axis=0)
+    a, b = np.concatenate([edges, edges[:, ::-1]]).T
+    e = points[b] - points[a]
+    w = 1 / (e * e).sum(axis=1) ** 1.5
+    xx, xy, yy = (np.bincount(a, 4 * w * p * q, n) for p, q in ((e[:, 0], e[:, 0]), (e[:, 0], e[:, 1]), (e[:, 1], e[:, 1])))
+    det = xx * yy - xy * xy
+    det = np.where(det > 0, det, np.inf)
+    rise, g = 6 * (values[b] - values[a]), np.zeros((n, 2))
+    for _ in range(rounds):
+        pull = w * (rise - 2 * (e * g[b]).sum(axis=1))
+        sx, sy = np.bincount(a, pull * e[:, 0], n), np.bincount(a, pull * e[:, 1], n)
+        new = np.column_stack([(yy * sx - xy * sy) / det, (xx * sy - xy * sx) / det])
+        moved = np.abs(new - g).max(axis=1) / np.maximum(1, np.abs(new).max(axis=1))
+        g = new
+        if moved.max(initial=0) < tolerance:
+            break
+    return g
+
+
+def _across(points: np.ndarray, triangles: np.ndarray) -> np.ndarray:
+    """For each triangle and corner: how the slope across the opposite edge is directed.
+
+    The direction leads to the centroid of the triangle on the other side, so
+    that it is the same from both sides and under affine maps; at the hull it
+    is that of the median.
+    """
+    m = len(triangles)
+    sides = np.sort(np.concatenate([triangles[:, [1, 2]], triangles[:, [2, 0]], triangles[:, [0, 1]]]), axis=1)
+    _, side = np.unique(sides, axis=0, return_inverse=True)
+    order = np.argsort(side.ravel(), kind="stable")
+    twin = np.flatnonzero(np.diff(side.ravel()[order]) == 0)
+    other = np.full(3 * m, -1)
+    other[order[twin]], other[order[twin + 1]] = order[twin + 1] % m, order[twin] % m
+    p, out = points[triangles], np.full((m, 3), -0.5)
+    u, v = p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]
+    det = u[:, 0] * v[:, 1] - v[:, 0] * u[:, 1]
+    center = p.mean(axis=1)
+    for k in range(3):
+        near = other[k * m : (k + 1) * m]
+        d = center[near] - p[:, 0]
+        c1, c2 = (d[:, 0] * v[:, 1] - v[:, 0] * d[:, 1]) / det, (u[:, 0] * d[:, 1] - d[:, 0] * u[:, 1]) / det
+        c = (1 - c1 - c2, c1, c2)
+        i, j = (k + 1) % 3, (k + 2) % 3
+        out[:, k] = np.where(near >= 0, (2 * c[j] + c[i] - 1) / (2 - 3 * c[i] - 3 * c[j]), -0.5)
+    return out
+
+
+def _clough_tocher(points: np.ndarray, values: np.ndarray, g: np.ndarray, t: np.ndarray, across: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Value of the Clough-Tocher element with these corners, slopes across edges and barycentric weights (one row each).
+
+    Three cubics in Bézier form that meet at the centroid; once continuously
+    differentiable over the triangulation.
+    """
+    pairs = [(i, j) for i in range(3) for j in range(3) if i != j]
+    f = [values[t[:, i]] for i in range(3)]
+    edge = {(i, j): f[i] + (g[t[:, i]] * (points[t[:, j]] - points[t[:, i]])).sum(axis=1) / 3 for i, j in pairs}
+    inner = [(f[i] + edge[i, (i + 1) % 3] + edge[i, (i + 2) % 3]) / 3 for i in range(3)]
+    face = []
+    for k in range(3):
+        i, j = (k + 1) % 3, (k + 2) % 3
+        bend = f[j] - f[i] + 3 * (edge[i, j] - edge[j, i])
+        face.append((across[:, k] * bend - f[i] + 2 * edge[i, j] - edge[j, i] + inner[i] + inner[j]) / 2)
+    upper = [(face[(i + 1) % 3] + face[(i + 2) % 3] + inner[i]) / 3 for i in range(3)]
+    low = weights.min(axis=1)
+    d, top = [weights[:, i] - low for i in range(3)], 3 * low
+    out = top**3 * (upper[0] + upper[1] + upper[2]) / 3
+    for i, j in pairs:
+        out = out + 3 * d[i] ** 2 * d[j] * edge[i, j]
+    for k in range(3):
+        out = out + d[k] ** 3 * f[k] + 3 * d[k] ** 2 * top * inner[k] + 3 * d[k] * top**2 * upper[k] + 6 * d[(k + 1) % 3] * d[(k + 2) % 3] * top * face[k]
+    return out
 
 
 def _locate(points: np.ndarray, triangles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,36 +290,31 @@ def _locate(points: np.ndarray, triangles: np.ndarray, at: np.ndarray) -> tuple[
 def interpolate(points: np.ndarray, values: np.ndarray, at: np.ndarray, cubic: bool = True) -> np.ndarray:
     """Values at ``at`` from scattered data; NaN outside the hull.
 
-    Linear: barycentric.  Cubic: on each edge the cubic Hermite that fits the
-    values and gradients at its ends, blended over the triangle (exact on
-    planes, continuous).  Fewer than three points, or points on one line, give
-    NaN everywhere.
+    The triangles are those of the coordinates as they are.  Linear: barycentric.
+    Cubic: Clough-Tocher with the gradients of least bending.  Where the cubic
+    is not finite the linear value stands.  Equal points count once, with their
+    mean value.  Fewer than three points, or points on one line, give NaN
+    everywhere.
     """
     out = np.full(len(at), np.nan)
-    scale = np.ptp(points, axis=0) if len(points) else np.ones(2)
-    scale = np.where(scale > 0, scale, 1.0)
-    points, inverse = np.unique(points / scale, axis=0, return_inverse=True)
+    points, inverse = np.unique(points, axis=0, return_inverse=True)
     inverse = inverse.ravel()
-    at = at / scale
     values = np.bincount(inverse, values) / np.bincount(inverse)
     if len(points) < 3:
         return out
     triangles = delaunay(points)
     if not len(triangles):
         return out
-    g = _gradients(points, values, triangles) if cubic else None
     owner, weights = _locate(points, triangles, at)
     inside = np.flatnonzero(owner >= 0)
     if not len(inside):
         return out
-    t, l = triangles[owner[inside]].T, weights[inside].T  # noqa: E741
-    v = (values[t] * l).sum(axis=0)
+    t, weights = triangles[owner[inside]], weights[inside]
+    v = (values[t] * weights).sum(axis=1)
     if cubic:
-        for i, j in ((0, 1), (1, 2), (2, 0)):
-            e = points[t[j]] - points[t[i]]
-            rise = values[t[j]] - values[t[i]]
-            si, sj = (g[t[i]] * e).sum(axis=1) - rise, rise - (g[t[j]] * e).sum(axis=1)
-            v = v + l[i] * l[j] * (l[i] * si + l[j] * sj)
+        with np.errstate(all="ignore"):
+            c = _clough_tocher(points, values, _gradients(points, values, triangles), t, _across(points, triangles)[owner[inside]], weights)
+        v = np.where(np.isfinite(c), c, v)
     out[inside] = v
     return out
 

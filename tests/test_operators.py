@@ -148,15 +148,82 @@ def test_wide_and_rank(spark):
     assert [r["n_below"] for r in a.strike_rank(p, "px", df).orderBy("px").collect()] == [bisect.bisect_left([1.0, 2.0], x) for x in (0.5, 1.0, 1.5, 9.0)]
 
 
-def test_triangulation_is_delaunay():
+def clouds():
     rng = np.random.default_rng(3)
-    p = rng.random((60, 2))
+    grid = np.array([(a, b) for a in range(7) for b in range(7)], float)
+    rows = np.column_stack([rng.random(60), rng.integers(0, 4, 60) * 90.0])
+    circle = np.array([(np.cos(a), np.sin(a)) for a in np.arange(30) / 30 * 2 * np.pi])
+    return [rng.random((60, 2)), rng.random((60, 2)) * [1, 365], grid, grid * [0.02, 30], np.unique(rows, axis=0), circle, rng.random((3, 2))]
+
+
+@pytest.mark.parametrize("p", clouds())
+def test_triangulation_is_delaunay(p):
     t = surface.delaunay(p)
+    assert set(t.ravel()) == set(range(len(p)))
     for tri in t:
         x, y, z = p[tri]
         m = 2 * np.array([y - x, z - x])
         c = np.linalg.solve(m, np.array([(y * y).sum() - (x * x).sum(), (z * z).sum() - (x * x).sum()]))
-        assert (((p - c) ** 2).sum(axis=1) >= ((x - c) ** 2).sum() - 1e-9).all()
+        square = ((x - c) ** 2).sum()
+        assert (((p - c) ** 2).sum(axis=1) >= square * (1 - 1e-9)).all()
+    edges, count = np.unique(np.sort(np.vstack([t[:, [0, 1]], t[:, [1, 2]], t[:, [2, 0]]]), axis=1), axis=0, return_counts=True)
+    for a, b in edges[count == 1]:  # an edge of one triangle has all points on one side
+        u = p[b] - p[a]
+        side = (u[0] * (p[:, 1] - p[a, 1]) - u[1] * (p[:, 0] - p[a, 0])) / np.hypot(*u)
+        assert side.min() > -1e-9 or side.max() < 1e-9
+    assert not len(surface.delaunay(np.array([[0, 0], [1, 1], [2, 2], [3, 3]], float)))
+
+
+def curved(p):
+    return np.sin(5 * p[:, 0]) + np.cos(p[:, 1] / 3)
+
+
+def test_gradients_bend_edges_least():
+    p = np.random.default_rng(5).random((40, 2)) * [1, 30]
+    t = surface.delaunay(p)
+    a, b = np.zeros((80, 80)), np.zeros(80)
+    for i, j in {tuple(sorted((x, y))) for tri in t for x in tri for y in tri if x != y}:
+        for x, y in ((i, j), (j, i)):
+            e, h = p[y] - p[x], np.hypot(*(p[y] - p[x])) ** 3
+            a[2 * x : 2 * x + 2, 2 * x : 2 * x + 2] += 4 * np.outer(e, e) / h
+            a[2 * x : 2 * x + 2, 2 * y : 2 * y + 2] += 2 * np.outer(e, e) / h
+            b[2 * x : 2 * x + 2] += 6 * (curved(p)[y] - curved(p)[x]) * e / h
+    assert np.abs(surface._gradients(p, curved(p), t).ravel() - np.linalg.solve(a, b)).max() < 1e-8
+
+
+def test_cubic_element():
+    rng = np.random.default_rng(6)
+    p = rng.random((40, 2)) * [1, 30]
+    t = surface.delaunay(p)
+    across = surface._across(p, t)
+    x, y = p.T
+    square, slope = 1 + 2 * x - y + 3 * x * x - 0.5 * x * y + 0.1 * y * y, np.column_stack([2 + 6 * x - 0.5 * y, -1 - 0.5 * x + 0.2 * y])
+    at = rng.random((500, 2)) * [1, 30]
+    owner, w = surface._locate(p, t, at)
+    ok = owner >= 0
+    u, v = at[ok].T
+    z = surface._clough_tocher(p, square, slope, t[owner[ok]], across[owner[ok]], w[ok])
+    assert np.abs(z - (1 + 2 * u - v + 3 * u * u - 0.5 * u * v + 0.1 * v * v)).max() < 1e-9  # squares come back
+
+    f = curved(p)
+    g = surface._gradients(p, f, t)
+
+    def value(k, at):
+        weights = np.linalg.solve(np.vstack([p[t[k]].T, np.ones(3)]), np.append(at, 1))
+        return surface._clough_tocher(p, f, g, t[[k]], across[[k]], weights[None])[0]
+
+    sides = {}
+    for k, tri in enumerate(t):
+        for i in range(3):
+            sides.setdefault(tuple(sorted((tri[i], tri[i - 1]))), []).append(k)
+    for (i, j), both in sides.items():
+        if len(both) < 2:
+            continue
+        middle = 0.3 * p[i] + 0.7 * p[j]
+        assert abs(value(both[0], middle) - value(both[1], middle)) < 1e-9
+        for step in ([1e-5, 0], [0, 3e-4]):
+            slopes = [(value(k, middle + step) - value(k, middle - step)) / (2 * sum(step)) for k in both]
+            assert abs(slopes[0] - slopes[1]) < 1e-3 * (1 + abs(slopes[0]))  # the same from both sides
 
 
 @pytest.mark.parametrize("cubic", [False, True])
