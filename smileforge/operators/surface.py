@@ -16,11 +16,23 @@ from .orderbook import bin_orderbook, forward_curve, standardize_orderbook_colum
 IV_COLUMNS = ("timestamp", "symbol", "expiry", "strike", "option_type", "mid_price", "forward_price", "tenor_days", "log_moneyness", "implied_vol")
 
 
+def join_parsed(left: DataFrame, right: DataFrame, parsed: str, on: list[str] | None = None) -> DataFrame:
+    """Inner join on ``on`` and on ``parsed``, a column of ``left`` that is costly to compute.
+
+    The equality is null-safe and ``right`` without nulls, so the rows are those of
+    a plain join; that would put a not-null filter on the scan, which parses every row once more.
+    """
+    keys = [*(on or []), parsed]
+    side = right.where(F.col(parsed).isNotNull()).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) if k == parsed else F.col(k) == F.col(f"__{k}") for k in keys]
+    return left.join(side, same, "inner").drop(*(f"__{k}" for k in keys))
+
+
 def _priced(options: DataFrame, forwards: DataFrame) -> DataFrame:
     """Options with symbol fields, forward, tenor and price in USD; rows without a positive tenor, strike or forward are dropped."""
     p = parse_option_name(F.col("symbol"))
-    o = options.select("timestamp", "symbol", F.col("mid_price").alias("coin_price"), p.alias("p")).where(F.col("p").isNotNull()).select("timestamp", "symbol", "coin_price", "p.expiry", "p.strike", "p.option_type")
-    joined = o.where(F.col("expiry").isNotNull() & F.col("timestamp").isNotNull()).join(forwards, ["timestamp", "expiry"], "inner")
+    o = options.select("timestamp", "symbol", F.col("mid_price").alias("coin_price"), p.alias("p")).select("timestamp", "symbol", "coin_price", "p.expiry", "p.strike", "p.option_type")
+    joined = join_parsed(o, forwards, "expiry", ["timestamp"])
     out = joined.withColumn("tenor_days", tenor_days(F.col("expiry"), F.col("timestamp"))).withColumn("log_moneyness", log_moneyness(F.col("strike"), F.col("forward_price")))
     return out.where("tenor_days > 0 AND strike > 0 AND forward_price > 0").withColumn("mid_price", F.col("coin_price") * F.col("forward_price"))
 

@@ -396,7 +396,7 @@ def _forwards(spark, sf_dir) -> DataFrame:
 @_query(f"WITH {_FORWARD} SELECT l_orderkey, l_linenumber, strike, option_type, forward_price, round(ln(strike / forward_price), 9) AS log_moneyness FROM jo JOIN fw USING (expiry)")
 def forward_join(spark, sf_dir):
     o = _option_symbols(spark, sf_dir).select("l_orderkey", "l_linenumber", sym.parse_option_name(F.col("symbol")).alias("p")).select("l_orderkey", "l_linenumber", "p.expiry", "p.strike", "p.option_type")
-    out = o.join(_forwards(spark, sf_dir), "expiry")
+    out = surface.join_parsed(o, _forwards(spark, sf_dir), "expiry")
     return out.select("l_orderkey", "l_linenumber", "strike", "option_type", "forward_price", F.round(b76.log_moneyness(F.col("strike"), F.col("forward_price")), 9).alias("log_moneyness"))
 
 

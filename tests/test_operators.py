@@ -278,3 +278,11 @@ def test_trade_surface(spark):
 
 def test_schema_of_book():
     assert len(schemas.book(50).fields) == 3 + 300 and len(schemas.raw_futures_book(2).fields) == 13
+
+
+def test_join_on_a_parsed_key(spark):
+    left = spark.createDataFrame([(1, "a", 1), (2, None, 1), (3, "b", None), (4, "b", 2), (5, "b", 2)], "id int, k string, t int")
+    right = spark.createDataFrame([("a", 1, 10.0), (None, 1, 20.0), ("b", None, 30.0), ("b", 2, 40.0), ("b", 2, 50.0)], "k string, t int, v double")
+    got = surface.join_parsed(left, right, "k", ["t"])
+    assert sorted(map(tuple, got.select("id", "k", "t", "v").collect())) == sorted(map(tuple, left.join(right, ["t", "k"]).select("id", "k", "t", "v").collect()))
+    assert got.columns == ["id", "k", "t", "v"] and surface.join_parsed(left.select("id", "k"), right.drop("t").where("false"), "k").count() == 0
