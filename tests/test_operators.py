@@ -135,6 +135,28 @@ def test_windows_around(spark):
     assert got == sorted((c, x) for c in (50, 55, 990) for x in range(0, 1000, 10) if abs(x - c) <= 15)
 
 
+def test_windows_around_come_by_time(spark):
+    """Copies of a trade have the same rows one after the other, so that a file holds them once."""
+    rng = np.random.default_rng(5)
+    times = [int(x) for x in rng.integers(-40_000, 40_000, 160)]
+    rows = [(i, x) for i, x in enumerate(times * 25)] + [(-1, None)]
+    t = spark.createDataFrame(rows, "id long, timestamp long").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = asof.windows_around(t, t.select(F.col("timestamp").alias("center")), 5_000).select("id", "timestamp", "center", F.spark_partition_id().alias("p"))
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    near = {x: sorted(c for c in times for _ in range(25) if abs(c - x) <= 5_000) for x in set(times)}
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["id"], []).append(r["center"])
+    assert by_id == {i: near[x] for i, x in rows[:-1]}
+    order = [(r["p"], r["timestamp"] // 10_000, r["timestamp"]) for r in got]
+    assert all(a[:2] != b[:2] or a <= b for a, b in zip(order, order[1:], strict=False))
+
+
 def test_profile_counts_nan(spark):
     df = spark.createDataFrame([(1.0, None), (float("nan"), "x")], "v double, s string")
     assert {r["column"]: (r["nulls"], r["share"]) for r in a.profile(df).collect()} == {"v": (1, 0.5), "s": (1, 0.5)}
