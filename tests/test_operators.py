@@ -157,6 +157,21 @@ def test_windows_around_come_by_time(spark):
     assert all(a[:2] != b[:2] or a <= b for a, b in zip(order, order[1:], strict=False))
 
 
+def test_windows_around_has_small_partitions(spark, monkeypatch):
+    """A partition has few enough trades for a file's dictionaries: small ones are not merged."""
+    monkeypatch.setattr(asof, "PIECE", 100, raising=False)
+    times = [i * 10_000 for i in range(-50, 50)]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(times * 25)], "id long, timestamp long")
+    got = asof.windows_around(t, t.select(F.col("timestamp").alias("center")), 5_000).select("id", "center", F.spark_partition_id().alias("p")).collect()
+    assert sorted((r["id"], r["center"]) for r in got) == sorted((i, x) for i, x in enumerate(times * 25) for _ in range(25))
+    ids = {}
+    for r in got:
+        ids.setdefault(r["p"], set()).add(r["id"])
+    assert len(ids) > 10 and max(map(len, ids.values())) <= 400
+    none = t.where("id < 0")
+    assert asof.windows_around(none, none.select(F.col("timestamp").alias("center")), 5_000).isEmpty()
+
+
 def test_profile_counts_nan(spark):
     df = spark.createDataFrame([(1.0, None), (float("nan"), "x")], "v double, s string")
     assert {r["column"]: (r["nulls"], r["share"]) for r in a.profile(df).collect()} == {"v": (1, 0.5), "s": (1, 0.5)}
